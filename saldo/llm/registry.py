@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import simhash
+from saldo.llm import langid, simhash
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -22,3 +22,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return simhash.near_duplicates(docs).withColumnRenamed("id", "doc_id")
+
+
+def held_out(column: str, folds: int, fold: int):
+    """Whether crc32 of the id as text falls into one fold."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(folds)) == fold
+
+
+@query
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
+    said = langid.identify(docs.select("doc_id", "text"), model)
+    return said.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))

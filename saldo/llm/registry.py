@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import langid, simhash
+from saldo.llm import langid, simhash, toxicity
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -36,3 +36,13 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out("doc_id", 4, 2)))
     said = langid.identify(docs.select("doc_id", "text"), model)
     return said.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~held_out("doc_id", 3, 1)))
+    scored = toxicity.score(docs, model, name="score")
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))

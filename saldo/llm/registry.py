@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, langid, simhash, toxicity
+from saldo.llm import chat, embedlinks, langid, simhash, toxicity
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,25 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr
   sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (says), '')) AS loss_sha256,
   CAST(sum(upto) FILTER (says OR back = 1) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id"""
+
+
+@query
+def op2_embedlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9 or more."""
+    got = embedlinks.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+ORACLE_SQL["op2_embedlinks"] = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM c LEFT JOIN n ON n.vec_id = c.vec_id"""

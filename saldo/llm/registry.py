@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, embedlinks, langid, simhash, toxicity
+from saldo.llm import chat, embedlinks, langid, simhash, toxicity, urlfilter
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -127,3 +127,24 @@ c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT c.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM c LEFT JOIN n ON n.vec_id = c.vec_id"""
+
+
+@query
+def op5_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the fixed rules on every page's url; unlisted urls are allowed."""
+    got = urlfilter.judge(table(spark, sf_dir, "pages", "page_id", "url"), urlfilter.entries(spark))
+    return got.withColumnRenamed("id", "page_id")
+
+
+ORACLE_SQL["op5_urlfilter"] = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (
+  SELECT page_id, host, path, r.h || r.p AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(r.h) DESC NULLS LAST, length(r.p) DESC) AS n
+  FROM q LEFT JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1"""

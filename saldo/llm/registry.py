@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, embedlinks, langid, simhash, toxicity, urlfilter
+from saldo.llm import chat, embedlinks, langid, simhash, spotsigs, toxicity, urlfilter
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -148,3 +148,18 @@ f AS (
     row_number() OVER (PARTITION BY page_id ORDER BY length(r.h) DESC NULLS LAST, length(r.p) DESC) AS n
   FROM q LEFT JOIN r ON (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE n = 1"""
+
+
+@query
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of every document and of its text half replaced by the next document's."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = spotsigs.with_next(spotsigs.signatures(docs, "text", "sigs"), ["text", "sigs"], text="text", id_col="doc_id")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
+    both = spotsigs.signatures(pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited")), "edited", "edited_sigs")
+    return both.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )

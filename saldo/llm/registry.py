@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, embedlinks, langid, simhash, spotsigs, toxicity, urlfilter
+from saldo.llm import chat, embedlinks, langid, secrets, simhash, spotsigs, toxicity, urlfilter
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -163,3 +163,16 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
         spotsigs.fingerprint(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
         spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
     )
+
+
+def _spans_text(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: fixed patterns and what the field adds."""
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"), secrets.train())
+    kinds = F.transform("base_spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(_spans_text(F.col("base_spans")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"))

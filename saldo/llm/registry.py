@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, embedlinks, langid, secrets, simhash, spotsigs, toxicity, urlfilter
+from saldo.llm import chat, embedlinks, langid, packing, secrets, simhash, spotsigs, toxicity, urlfilter
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -176,3 +176,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("base_spans", lambda s: s["kind"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(_spans_text(F.col("base_spans")), 256).alias("base_sha256"), _spans_text(F.col("spans")).alias("spans"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens by lexical retrieval."""
+    pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return packing.crc32_ids(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

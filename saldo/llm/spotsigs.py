@@ -52,7 +52,7 @@ def signatures(docs: DataFrame, text: str, out: str, *, anchors: tuple[str, ...]
     step = step.withColumn("_word", F.transform("_spot", lambda w: F.substring_index(w, MARK, -1)))
 
     def at(w: Column, i: Column) -> Column:
-        links = F.array_join(F.slice(F.col("_word"), i + 1, chain), " ")
+        links = F.concat_ws(" ", *[F.get(F.col("_word"), i + k) for k in range(chain)])  # slice() would copy the whole array each time
         before = F.when(i == 0, F.concat(F.lit("^" + MARK), w)).otherwise(w)
         spots = F.split(before, MARK)
         some = F.transform(F.slice(spots, 1, F.size(spots) - 1), lambda a: F.hash(a, links))
@@ -60,7 +60,7 @@ def signatures(docs: DataFrame, text: str, out: str, *, anchors: tuple[str, ...]
         return whole.when(((i == 0) | (F.instr(w, MARK) > 0)) & ~w.endswith(MARK), some).otherwise(F.array().cast("array<int>"))
 
     found = F.flatten(F.transform("_spot", at))
-    return step.withColumn(out, F.when(F.element_at("_spot", 1) == "", F.array().cast("array<int>")).otherwise(F.array_sort(F.array_distinct(found)))).drop("_spot", "_word")
+    return step.withColumn(out, F.when(F.element_at("_spot", 1) == "", F.array().cast("array<int>")).otherwise(F.sort_array(F.array_distinct(found)))).drop("_spot", "_word")
 
 
 def fingerprint(sigs: Column) -> Column:

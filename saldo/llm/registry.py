@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saldo.llm import chat, embedlinks, langid, packing, secrets, simhash, spotsigs, toxicity, urlfilter
+from saldo.llm import chat, embedlinks, langid, packing, sampling, secrets, simhash, spotsigs, toxicity, urlfilter
 from saldo.llm.common import table
 
 QUERIES: dict = {}
@@ -189,3 +189,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens by lexical retrieval."""
     pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return packing.crc32_ids(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op6_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document, without replacement, as digests; the text's crc32 is that of the decoded ids."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return sampling.sample_encode(docs, tokenizer_path("piece_bpe_32k.model"), emit=sampling.digest, schema=sampling.DIGEST)

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-SHARD_CHARS = 8_000_000
+SHARD_CHARS = 4_000_000
 NEIGHBOURS = 8
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
@@ -40,8 +41,8 @@ class CachedTokenizer:
     their parts encoded many at a time; all others are encoded as they stand.
     """
 
-    _parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # the tokenizer file's pattern, a fixed value
-    _plain = regex.compile("[\x21-\x7e\xa1-\xac\xae-įı-ž]+")
+    _parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")  # the tokenizer file's pattern, a fixed value
+    _plain = regex.compile("[\n\x21-\x7e\xa1-\xac\xae-įı-ž]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -73,16 +74,29 @@ class CachedTokenizer:
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct words, little-endian."""
-        cut, out = {}, {}
-        for w in words:
-            if self._plain.fullmatch(w) and "<|" not in w:
-                cut[w] = self._parts.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())
-            else:
-                out[w] = self.whole(w)
+        joined = "\n".join(words)
+        if not joined or not self._plain.fullmatch(joined) or "<|" in joined:
+            odd = [w for w in words if not self._plain.fullmatch(w) or "\n" in w or "<|" in w]
+            out = {w: self.whole(w) for w in odd}
+            words = [w for w in words if w not in out]
+            joined = "\n".join(words)
+        else:
+            out = {}
+        if not words:
+            return out
+        # one pass of the pattern over all words; a line feed is a part of its own and ends a word
+        parts = self._parts.findall((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower() + "\n")
         known = self.pieces
-        new = self.encode_pieces(list({p for ps in cut.values() for p in ps if p not in known}))
-        for w, ps in cut.items():
-            out[w] = b"".join([known[p] if p in known else new[p] for p in ps])
+        new = self.encode_pieces([p for p in set(parts) if p not in known and p != "\n"])
+        get = (known | new).__getitem__ if len(known) < len(new) else (lambda p: known[p] if p in known else new[p])
+        made, held = [], b""
+        for p in parts:
+            if p == "\n":
+                made.append(held)
+                held = b""
+            else:
+                held = held + get(p) if held else get(p)
+        out.update(zip(words, made, strict=True))
         if len(known) < CACHE:
             known.update(new)
         return out
@@ -100,7 +114,8 @@ class CachedTokenizer:
         length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         start = np.cumsum(length) - length
         get = number.__getitem__
-        return [np.fromiter(map(get, s), np.int32, len(s)) for s in split], start, length, np.frombuffer(b"".join(raw), "<u4")
+        numbers = np.fromiter(map(get, chain.from_iterable(split)), np.int32)
+        return np.split(numbers, np.cumsum([len(s) for s in split])[:-1]), start, length, np.frombuffer(b"".join(raw), "<u4")
 
 
 def gather(words: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -204,12 +219,13 @@ def order_and_cut(sizes: np.ndarray, index: Bm25, window: int = WINDOW) -> list[
 _loaded: dict[str, CachedTokenizer] = {}
 
 
-def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, shard_chars: int = SHARD_CHARS, emit: Callable[[pd.DataFrame], pd.DataFrame] | None = None, schema: str = SCHEMA) -> DataFrame:
     """Pieces (SCHEMA) of all documents: each document's ids and END_ID, each id in exactly one piece.
 
     tokenizer: path of a `tokenizers` file, present on every executor. A null text is empty and has the
     end id alone. Rows that repeat, or repeat an id, are packed each. An empty table gives no rows; other
-    columns are ignored. A text longer than a shard is a shard of its own.
+    columns are ignored. A text longer than a shard is a shard of its own. emit, with the schema of what it
+    returns, turns frames of pieces into others before they leave the worker.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,7 +248,7 @@ def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "
                     if at + n == sizes[doc]:
                         del whole[doc]
                     out.append((ids[doc], at, n, tokens[at : at + n].view(np.int32), sizes[doc], sequences + seq, offset))
-                yield pd.DataFrame(out, columns=_names)
+                yield emit(pd.DataFrame(out, columns=_names)) if emit else pd.DataFrame(out, columns=_names)
             sequences += pieces[-1][3] + 1
 
         held_ids: list[int] = []
@@ -249,17 +265,15 @@ def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "
         if held:
             yield from shard(held_ids, held)
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(run, SCHEMA)
+    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(run, schema)
 
 
 _names = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
-def crc32_ids(pieces: DataFrame) -> DataFrame:
-    """Pieces with ids_crc32, the unsigned crc32 of their ids as little-endian 32-bit numbers, in place of ids."""
+DIGEST = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long"
 
-    @F.pandas_udf("long")
-    def run(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<i4").tobytes()) for x in ids], dtype="int64")
 
-    return pieces.withColumn("ids_crc32", run("ids")).drop("ids")
+def crc32_ids(pieces: pd.DataFrame) -> pd.DataFrame:
+    """For emit: ids_crc32, the unsigned crc32 of a piece's ids as little-endian 32-bit numbers, in place of ids."""
+    return pieces.drop(columns="ids").assign(ids_crc32=[zlib.crc32(x.astype("<i4").tobytes()) for x in pieces["ids"]])

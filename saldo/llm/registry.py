@@ -187,8 +187,9 @@ def tokenizer_path(name: str) -> str:
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of 2048 tokens by lexical retrieval."""
-    pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
-    return packing.crc32_ids(pieces).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    pieces = packing.pack(docs, tokenizer_path("word_bpe_49k.json"), emit=packing.crc32_ids, schema=packing.DIGEST)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 @query

@@ -79,7 +79,8 @@ def test_query(spark):
 def test_odd_texts_and_small_windows(spark, shard_chars):
     texts = dict(enumerate(ODD))
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, ids string")
-    rows = packing.crc32_ids(packing.pack(df, PATH, window=16, shard_chars=shard_chars)).collect()
+    rows = packing.pack(df, PATH, window=16, shard_chars=shard_chars, emit=packing.crc32_ids, schema=packing.DIGEST).collect()
+    assert packing.pack(df, PATH, window=16).agg({"length": "sum"}).first()[0] == sum(r["length"] for r in rows)
     check(rows, texts, 16)
     assert packing.pack(df.limit(0), PATH).count() == 0
 

@@ -151,7 +151,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             kept = [(i, n, np.flatnonzero(c), c) for i, n, c in zip(pdf["i"], pdf["n"], subword_counts(list(pdf["t"]), buckets)) if c.any()]
-            yield pd.DataFrame({"i": [k[0] for k in kept], "n": [k[1] for k in kept], "at": [k[2].astype(np.int32) for k in kept], "c": [k[3][k[2]].astype(np.int32) for k in kept]})
+            if kept:
+                yield pd.DataFrame({"i": [k[0] for k in kept], "n": [k[1] for k in kept], "at": [k[2].astype(np.int32) for k in kept], "c": [k[3][k[2]].astype(np.int32) for k in kept]})
 
     got = picked.select(F.xxhash64(id_col).alias("i"), F.col(lang).alias("n"), F.col(text).alias("t")).mapInPandas(reduce, "i long, n string, at array<int>, c array<int>").toPandas()
     got = got.sort_values(["i", "n"], kind="stable")

@@ -273,15 +273,20 @@ def scan(docs: DataFrame, field: SecretField, *, text: str = "text") -> DataFram
     Null and empty texts have none. Columns of docs with these names are replaced; repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)  # bounded: BUCKETS x 3 weights
-    rows = lambda spans: [{"start": a, "end": b, "kind": k} for a, b, k in spans]
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
-    @F.pandas_udf(f"struct<base_spans:{SPANS},spans:{SPANS}>")
+    @F.pandas_udf("struct<base_spans:string,spans:string>")
     def run(t: pd.Series) -> pd.DataFrame:
         got = [scan_text(x, shared.value) for x in t]
-        return pd.DataFrame({"base_spans": [rows(g[0]) for g in got], "spans": [rows(g[1]) for g in got]})
+        return pd.DataFrame({"base_spans": [line(g[0]) for g in got], "spans": [line(g[1]) for g in got]}, dtype=object)
+
+    def parsed(name: str) -> F.Column:
+        part = lambda p, k: F.get(F.split(p, ":"), F.lit(k))
+        some = F.transform(F.split(F.col(f"_found.{name}"), ","), lambda p: F.struct(part(p, 1).cast("long").alias("start"), part(p, 2).cast("long").alias("end"), part(p, 0).alias("kind")))
+        return F.when(F.col(f"_found.{name}") == "", F.array().cast(SPANS)).otherwise(some).alias(name)
 
     keep = [c for c in docs.columns if c.lower() not in ("base_spans", "spans")]
-    return docs.select(*[F.col(f"`{c}`") for c in keep], run(F.col(text)).alias("_found")).select(*[f"`{c}`" for c in keep], "_found.base_spans", "_found.spans")
+    return docs.select(*[F.col(f"`{c}`") for c in keep], run(F.col(text)).alias("_found")).select(*[f"`{c}`" for c in keep], parsed("base_spans"), parsed("spans"))
 
 
 def redact(text: F.Column, spans: F.Column, mark: str = "[SECRET]") -> F.Column:

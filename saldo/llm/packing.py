@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ SHARD_CHARS = 4_000_000
 NEIGHBOURS = 8
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-#: Entries of each tokeniser cache; beyond that, words are encoded again whenever a shard needs them.
-CACHE = 400_000
+#: Words whose ids a worker keeps; past that it forgets them all and starts over. Parts of words likewise.
+CACHE = 700_000
 SCHEMA = "doc_id long, start long, length long, ids array<int>, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,8 +52,12 @@ class CachedTokenizer:
         ends = [i for w, i in self.lib.get_vocab().items() if w.endswith("</w>")]
         self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
         self.ends[ends] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # of each word, in order of first sight
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -72,50 +77,49 @@ class CachedTokenizer:
                 out |= {p: self.whole(p) for p in some}
         return out
 
-    def encode_words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of distinct words, little-endian."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and length of each word's ids in an array of ids, and that array."""
+        start, length = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         joined = "\n".join(words)
-        if not joined or not self._plain.fullmatch(joined) or "<|" in joined:
-            odd = [w for w in words if not self._plain.fullmatch(w) or "\n" in w or "<|" in w]
-            out = {w: self.whole(w) for w in odd}
-            words = [w for w in words if w not in out]
-            joined = "\n".join(words)
-        else:
-            out = {}
-        if not words:
-            return out
-        # one pass of the pattern over all words; a line feed is a part of its own and ends a word
-        parts = self._parts.findall((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower() + "\n")
+        odd: list[int] = []
+        if words and ("<|" in joined or not self._plain.fullmatch(joined) or joined.count("\n") >= len(words)):
+            odd = [k for k, w in enumerate(words) if "\n" in w or "<|" in w or not self._plain.fullmatch(w)]
+        even = np.setdiff1d(np.arange(len(words)), odd) if odd else np.arange(len(words))
+        if odd:
+            joined = "\n".join([words[k] for k in even.tolist()])
         known = self.pieces
-        new = self.encode_pieces([p for p in set(parts) if p not in known and p != "\n"])
-        get = (known | new).__getitem__ if len(known) < len(new) else (lambda p: known[p] if p in known else new[p])
-        made, held = [], b""
-        for p in parts:
-            if p == "\n":
-                made.append(held)
-                held = b""
-            else:
-                held = held + get(p) if held else get(p)
-        out.update(zip(words, made, strict=True))
-        if len(known) < CACHE:
-            known.update(new)
-        return out
+        ids = np.zeros(0, "<u4")
+        if len(even):
+            # one pass of the pattern over all words; a line feed is a part of its own, has no ids and ends a word
+            parts = self._parts.findall((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower() + "\n")
+            known["\n"] = b""
+            known.update(self.encode_pieces([p for p in set(parts) if p not in known]))
+            raw = list(map(known.__getitem__, parts))
+            upto = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)
+            ends = upto[np.fromiter(map("\n".__eq__, parts), bool, len(parts))]
+            start[even], length[even] = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            if len(known) > CACHE:
+                known.clear()
+        if odd:
+            raw = [self.whole(words[k]) for k in odd]
+            sizes = np.array([len(r) // 4 for r in raw])
+            start[odd], length[odd] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, np.frombuffer(b"".join(raw), "<u4")])
+        return start, length, ids
 
     def shard(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers of each text; start and length of each word's ids, and all ids."""
+        if len(self.number) > CACHE:
+            self.forget()
         split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        distinct = list(set().union(*split))
-        known = self.words
-        new = self.encode_words([w for w in distinct if w not in known])
-        raw = [known[w] if w in known else new[w] for w in distinct]
-        if len(known) < CACHE:
-            known.update(new)
-        number = dict(zip(distinct, range(len(distinct))))
-        length = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        start = np.cumsum(length) - length
-        get = number.__getitem__
-        numbers = np.fromiter(map(get, chain.from_iterable(split)), np.int32)
-        return np.split(numbers, np.cumsum([len(s) for s in split])[:-1]), start, length, np.frombuffer(b"".join(raw), "<u4")
+        before = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32)
+        start, length, ids = self.encode_words(list(islice(self.number, before, None)))
+        self.start = np.concatenate([self.start, len(self.ids) + start])
+        self.length = np.concatenate([self.length, length])
+        self.ids = np.concatenate([self.ids, ids])
+        return np.split(numbers, np.cumsum([len(s) for s in split])[:-1]), self.start, self.length, self.ids
 
 
 def gather(words: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -132,12 +136,14 @@ def gather(words: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.nda
 class Bm25:
     """Inverted index of one shard: postings by term with their BM25 weights."""
 
-    def __init__(self, docs: list[np.ndarray], n_terms: int):
+    def __init__(self, docs: list[np.ndarray]):
         self.n = len(docs)
         sizes = np.array([len(d) for d in docs], np.int64)
         key = np.concatenate(docs).astype(np.int64) * self.n + np.repeat(np.arange(self.n), sizes) if self.n else np.zeros(0, np.int64)
         key, tf = np.unique(key, return_counts=True)
         term, doc = np.divmod(key, max(self.n, 1))
+        term = np.cumsum(np.r_[False, np.diff(term) != 0][: len(term)])  # numbered within the shard
+        n_terms = int(term[-1]) + 1 if len(term) else 0
         self.df = np.bincount(term, minlength=n_terms)
         self.idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
         shared = self.df[term] > 1  # a term of one document leads to no other
@@ -236,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "
             nonlocal sequences
             words, start, length, pool = tok.shard(texts)
             sizes = np.array([int(length[w].sum()) + 1 for w in words], np.int64)
-            pieces = order_and_cut(sizes, Bm25(words, len(length)), window)
+            pieces = order_and_cut(sizes, Bm25(words), window)
             whole: dict[int, np.ndarray] = {}
             for k in range(0, len(pieces), 4096):
                 some = pieces[k : k + 4096]

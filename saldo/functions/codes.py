@@ -89,7 +89,7 @@ def code_cover(codes: DataFrame) -> DataFrame:
     text = F.regexp_replace("code", r"^CPA(2_1)?_", "")
     section = F.map_from_arrays(F.array(*[F.lit(s) for s in SECTIONS]), F.array(*[F.array(*[F.lit(f"{s}{n:02d}") for n in range(lo, hi + 1)]) for s, (lo, hi) in SECTIONS.items()]))
     letter, first, last = (F.regexp_extract(text, r"^([A-U])(\d\d)[-_](?:[A-U])?(\d\d)$", k) for k in (1, 2, 3))
-    ends = F.when(text.contains("-"), F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array(first.cast("int"), last.cast("int")))
+    ends = F.when(text.contains("-"), F.sequence(first.try_cast("int"), last.try_cast("int"))).otherwise(F.array(first.try_cast("int"), last.try_cast("int")))
     span = F.transform(ends, lambda n: F.concat(letter, F.lpad(n.cast("string"), 2, "0")))
     out = F.when(text.rlike(r"^[A-U]$"), F.element_at(section, text)).when(text.rlike(r"^[A-U]\d\d[-_](?:[A-U])?\d\d$"), span).when(text.rlike(r"^[A-U]\d\d[A-Z]?$"), F.array(text))
     return codes.select("code", F.explode(out).alias("division"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from saldo.functions import kernels
+from saldo.functions.lineage import cut
 
 OUT = "table_id string, i int, j int, value double, method string, iterations int, converged boolean, step double"
 
@@ -69,14 +70,14 @@ def balance(cells: DataFrame, rows: DataFrame, cols: DataFrame, *, method: str =
 
 def ras_rounds(cells: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int) -> DataFrame:
     """A fixed number of RAS rounds as joins and sums; the lineage is cut every few rounds."""
-    now = cells.select("table_id", "i", "j", "value")
+    now, rows, cols = cut(cells.select("table_id", "i", "j", "value")), cut(rows), cut(cols)
     for k in range(rounds):
         for by, goal in (("i", rows), ("j", cols)):
             have = now.groupBy("table_id", by).agg(F.sum("value").alias("have"))
             factor = have.join(goal.withColumnRenamed("value", "goal"), ["table_id", by]).select("table_id", by, F.when(F.col("have") != 0, F.col("goal") / F.col("have")).otherwise(1.0).alias("f"))
             now = now.join(factor, ["table_id", by]).select("table_id", "i", "j", (F.col("value") * F.col("f")).alias("value"))
         if k % 3 == 2:
-            now = now.checkpoint()
+            now = cut(now)
     return now
 
 

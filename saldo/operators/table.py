@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from saldo.functions import kernels
+from saldo.functions.lineage import cut
 
 KEY = ["table_id"]
 TINY = kernels.TINY
@@ -102,20 +103,21 @@ def multipliers(a: DataFrame, x: DataFrame) -> DataFrame:
     return _with_sectors(a, x).groupBy(*KEY).applyInPandas(run, "table_id string, j int, multiplier double")
 
 
-def multipliers_by_series(a: DataFrame, x: DataFrame, terms: int = 40) -> DataFrame:
-    """The same by the power series 1 + 1A + 1AA + ..., as joins and sums, for tables too large for one task."""
-    from pyspark import StorageLevel
-
-    a = a.where(~F.isnan("value")).persist(StorageLevel.MEMORY_AND_DISK)
-    term = x.select(*KEY, F.col("i").alias("j"), F.lit(1.0).alias("t"))
-    acc = term
-    for k in range(1, terms + 1):
-        pulled = a.join(term.withColumnRenamed("j", "i"), [*KEY, "i"]).groupBy(*KEY, "j").agg(F.sum(F.col("t") * F.col("value")).alias("t"))
-        acc = acc.unionByName(pulled).groupBy(*KEY, "j").agg(F.sum("t").alias("t"))
-        term = pulled
-        if k % 8 == 0:
-            term, acc = term.checkpoint(), acc.checkpoint()
-    return acc.withColumnRenamed("t", "multiplier")
+def multipliers_by_series(a: DataFrame, x: DataFrame, doublings: int = 6) -> DataFrame:
+    """The same by the power series 1 + 1A + 1AA + ... of 2^doublings terms, as joins and sums.
+
+    For tables too large for one task: each round adds the sum so far times a power of A, and squares that
+    power, (1 + A)(1 + AA)(1 + AAAA)..., so the plan has as many steps as the series has doublings.
+    """
+    power = cut(a.where(~F.isnan("value")).select(*KEY, "i", "j", "value"))
+    total_ = x.select(*KEY, F.col("i").alias("j"), F.lit(1.0).alias("t"))
+    for k in range(doublings):
+        pulled = power.join(total_.withColumnRenamed("j", "i"), [*KEY, "i"]).select(*KEY, "j", (F.col("t") * F.col("value")).alias("t"))
+        total_ = cut(total_.unionByName(pulled).groupBy(*KEY, "j").agg(F.sum("t").alias("t")))
+        if k + 1 < doublings:
+            right = power.select(*KEY, F.col("i").alias("j"), F.col("j").alias("k"), F.col("value").alias("w"))
+            power = cut(power.join(right, [*KEY, "j"]).groupBy(*KEY, "i", F.col("k").alias("j")).agg(F.sum(F.col("value") * F.col("w")).alias("value")))
+    return total_.withColumnRenamed("t", "multiplier")
 
 
 def type_ii_multipliers(a: DataFrame, x: DataFrame, income: DataFrame, household: DataFrame) -> DataFrame:

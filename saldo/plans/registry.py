@@ -140,7 +140,7 @@ def io_multipliers(spark, sf_dir):
 @query(f"WITH RECURSIVE {FLOW}, {INVERSE} SELECT j, round(sum(v), 8) AS multiplier FROM l GROUP BY j")
 def io_multipliers_series(spark, sf_dir):
     t = io(spark, sf_dir)
-    return table.multipliers_by_series(table.coefficients(t.z, t.x), t.x, 48).select("j", v("multiplier", 8, "multiplier"))
+    return table.multipliers_by_series(table.coefficients(t.z, t.x), t.x).select("j", v("multiplier", 8, "multiplier"))
 
 
 @query(f"WITH RECURSIVE {FLOW}, {INVERSE} SELECT x.i, y.i AS j, round(coalesce(l.v, 0), 8) AS value FROM x JOIN x y ON true LEFT JOIN l ON l.i = x.i AND l.j = y.i")

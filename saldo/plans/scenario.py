@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saldo.functions.kernels import TableError
+from saldo.functions.lineage import cut
 from saldo.operators import balance, split, table
 from saldo.plans.config import Project, Scenario, Split
 from saldo.sources.fixture import Table
@@ -38,10 +39,11 @@ def split_table(t: Table, one: Split, keys: dict[str, dict[int, float]], scenari
     named = [(s, p, m) for p, by in scenario.profiles.items() if p in one.parts for s, m in by.items()]
     if named:
         shares = split.profile_shares(t.z, one.sector, w_col, spark.createDataFrame(named, "i int, part int, m double"))
-    seeded = split.seed(t.z, one.sector, w_row, w_col, scenario.alpha, shares).checkpoint()
+    seeded = split.seed(t.z, one.sector, w_row, w_col, scenario.alpha, shares)
     x, y, va = split.split_margin(t.x, "i", one.sector, w_out), split.split_margin(t.y, "i", one.sector, own("final_demand")), split.split_margin(t.va, "j", one.sector, own("value_added"))
+    seeded = cut(seeded)
     rows, cols = split.targets(x, y, va)
-    r, c = (df.checkpoint() for df in split.inner_targets(seeded, rows, cols, one.parts))
+    r, c = (cut(df) for df in split.inner_targets(seeded, rows, cols, one.parts))
     inner = seeded.where("block = 'inner'")
     notes = []
     total = inner.agg(F.sum("value").alias("s")).first()["s"] or 0.0
@@ -51,7 +53,7 @@ def split_table(t: Table, one: Split, keys: dict[str, dict[int, float]], scenari
             raise TableError(f"{scenario.scenario_id}: splitting {one.sector} needs a negative inner sum of {verdict['smallest']:.6g}; the profile asks for more than the block holds")
         fixed = {k: v for k, v in scenario.constraints.items() if k[0] in one.parts and k[1] in one.parts}
         known = spark.createDataFrame([("", i, j, v) for (i, j), v in fixed.items()], "table_id string, i int, j int, value double").drop("table_id").join(inner.select("table_id").distinct()) if fixed else None
-        made = balance.balance(inner, r, c, eps=scenario.tolerance, max_iter=scenario.max_iter, known=known, floor=1e-6 * abs(total)).checkpoint()
+        made = cut(balance.balance(inner, r, c, eps=scenario.tolerance, max_iter=scenario.max_iter, known=known, floor=1e-6 * abs(total)))
         facts = made.agg(F.max("iterations").alias("n"), F.bool_and("converged").alias("ok"), F.max("method").alias("how")).first()
         notes.append(f"split {one.sector}: {facts['how']} {facts['n']} iterations, {'converged' if facts['ok'] else 'not converged'}")
         after = seeded.where("block <> 'inner'").select("table_id", "i", "j", "value").unionByName(made.select("table_id", "i", "j", "value"))

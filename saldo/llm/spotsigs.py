@@ -101,3 +101,34 @@ def with_next(docs: DataFrame, carry: list[str], *, text: str, id_col: str) -> D
     for c in carry:
         seated = seated.withColumn(f"next_{c}", F.lead(c).over(order))
     return seated.where("_g = 0").drop("_range", "_seat", "_r", "_g")
+
+
+def similar_pairs(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Links of likeness at least `threshold` between classes of equal signature sets, and each row's class.
+
+    Returns (a, b, likeness) with a < b classes' smallest ids, and (id, class) per row of docs. Equal sets
+    collapse first, so copies cost one row. Sets are partitioned by length in steps of 1 / threshold; a set
+    meets those of its own and the next partition that share one of its rarest signatures (as many as a
+    partner within the threshold can't miss all of) where enough of both sets is left behind it. Survivors
+    are compared in full. Nothing is capped. Empty sets link with nothing; an empty table gives no rows.
+    """
+    rows = signatures(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_t")), "_t", "sigs").select("id", "sigs")
+    rows = rows.withColumn("print", F.xxhash64("sigs"))
+    classes = rows.groupBy("print", "sigs").agg(F.min("id").alias("class"))
+    members = rows.join(classes, ["print", "sigs"]).select("id", "class")
+    sized = classes.where(F.size("sigs") > 0).select("class", "sigs", F.size("sigs").alias("n"))
+    sized = sized.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int"))
+    entry = sized.select("class", "n", "part", F.explode("sigs").alias("sig"))
+    often = entry.groupBy("sig").agg(F.count(F.lit(1)).alias("f"))
+    ranked = entry.join(often, "sig").groupBy("class", "n", "part").agg(F.sort_array(F.collect_list(F.struct("f", "sig"))).alias("order"))  # a set's own signatures
+    head = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1).cast("int")
+    index = ranked.select("class", "n", "part", F.posexplode(F.slice("order", F.lit(1), head)).alias("pos", "s")).select("class", "n", "part", "pos", F.col("s.sig").alias("sig"))
+    short = index.select(F.col("class").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    long_ = index.select(F.col("class").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "sig", "part")
+    fits = (F.col("na") >= threshold * F.col("nb") - 1e-9) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb"))))
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    maybe = short.join(long_, ["sig", "part"]).where(fits & left).select("ca", "cb").distinct()
+    sets = lambda c, s: sized.select(F.col("class").alias(c), F.col("sigs").alias(s))
+    pairs = maybe.join(sets("ca", "sa"), "ca").join(sets("cb", "sb"), "cb").withColumn("likeness", likeness(F.col("sa"), F.col("sb"), threshold))
+    pairs = pairs.where(F.col("likeness") >= threshold - 1e-12)
+    return pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "likeness"), members

@@ -80,3 +80,29 @@ def test_no_python_in_the_plan(spark):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.op4_spotsigs(spark, str(tmp_path)).count() == 0
+
+
+def test_similar_pairs_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocab = ["w%s" % c for c in "abcdefghijklmnopqrstuv"] + ["the", "of", "a"] * 4
+    rows = []
+    for g in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.randint(20, 120))]
+        for _ in range(6):
+            words = list(base)
+            for _ in range(rng.randint(0, 4)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(words + base[: rng.randint(0, 12)])))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, ""), (len(rows) + 2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for threshold in (0.8, 0.5):
+        pairs, members = spotsigs.similar_pairs(df, threshold=threshold)
+        sets = {i: brute(t) if words_of(t or "") else set() for i, t in rows}
+        cls = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+        assert {r["id"]: r["class"] for r in members.collect()} == cls
+        reps = sorted(set(cls.values()))
+        want = {(a, b) for a in reps for b in reps if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= threshold}
+        assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
+    assert spotsigs.similar_pairs(df.limit(0))[0].count() == 0

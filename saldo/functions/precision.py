@@ -26,10 +26,10 @@ def printed_decimals(values: DataFrame, by: list[str], value: str = "value", sha
     v = F.col(value)
     some = values.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)).select(*by, decimals_needed(v).alias("d"))
     levels = some.groupBy(*by, "d").agg(F.count(F.lit(1)).alias("n"))
-    totals = levels.groupBy(*by).agg(F.sum("n").alias("all"), F.sum(F.when(F.col("d").isNull(), F.col("n")).otherwise(0)).alias("more")) if by else levels.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("d").isNull(), F.col("n")).otherwise(0)).alias("more"))
+    totals = levels.groupBy(*by).agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("d").isNull(), F.col("n")).otherwise(0)).alias("_more")) if by else levels.agg(F.sum("n").alias("_all"), F.sum(F.when(F.col("d").isNull(), F.col("n")).otherwise(0)).alias("_more"))
     joined = levels.join(totals, by) if by else levels.crossJoin(totals)  # one row of totals
-    used = F.max(F.when(F.col("n") >= share * F.col("all"), F.col("d")))
-    return joined.groupBy(*by, "all", "more").agg(used.alias("d")).select(*by, F.when(F.col("more") < share * F.col("all"), F.col("d")).alias("decimals"))
+    used = F.max(F.when(F.col("n") >= share * F.col("_all"), F.col("d")))
+    return joined.groupBy(*by, "_all", "_more").agg(used.alias("d")).select(*by, F.when(F.col("_more") < share * F.col("_all"), F.col("d")).alias("decimals"))
 
 
 def tolerance(decimals: Column, terms: Column, magnitude: Column) -> Column:

@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,18 @@ ALPHA = 1.0
 ZIPF = 2.7
 SPACE = "▁"
 ABSENT, PREFIX = -1, -2
-BATCH_CHARS = 800_000
-#: Words whose lattices a worker keeps; all others are built again in each batch.
-CACHE_WORDS = 250_000
+BATCH_CHARS = 200_000
+#: Arcs of word lattices that a worker keeps; past that it forgets all words and starts over.
+CACHE_ARCS = 13_000_000
 SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed double, log_inclusion double"
 
 _word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Siblings are looked for among nodes whose prefix has a probability above e^-DEEP, given the place the path
+#: starts from. One further on is among the best only with a probability of that order, far below what the
+#: noise's 53 bits can tell.
+DEEP = 60.0
+_STEP = np.uint64(0x2545F4914F6CDD1D)
+_DEPTH = 0xD1342543DE82EF95
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +73,13 @@ def _gumbel(x: np.ndarray) -> np.ndarray:
     return np.negative(u, out=u)
 
 
+def _words(text: str) -> list[str]:
+    """The words of a text, each without its first blank."""
+    if SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
+        return text.split(" ")
+    return [w[1:] for w in _word.findall((SPACE + text).replace(" ", SPACE))]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece file by a hash of their code points, and the log-probability of each id."""
 
@@ -133,10 +147,13 @@ class Vocabulary:
         return out
 
     def decode(self, ids) -> str:
-        """Text of ids: pieces and bytes joined, the blank in front taken off; broken bytes become U+FFFD."""
-        get = self.bytes
-        text = b"".join([get[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        """Text of ids; broken bytes become U+FFFD."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
+
+    def decode_bytes(self, ids) -> bytes:
+        """Pieces and bytes of ids joined, the blank in front taken off."""
+        raw = b"".join(map(self.bytes.__getitem__, ids))
+        return raw[1:] if raw.startswith(b" ") else raw
 
 
 @dataclass
@@ -199,34 +216,41 @@ class Sampler:
 
     def __init__(self, path: str, alpha: float = ALPHA):
         self.vocab, self.alpha = Vocabulary(path), alpha
-        self.root: dict[str, int] = {}
-        self.nodes = self.arcs = 0  # kept; what lies behind is the last batch's
-        self.store = Lattice(np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32), np.zeros(1 << 18), np.zeros(1 << 18, np.int32))
-
-    def lattice(self, words: list[list[str]]) -> tuple[dict[str, int], Lattice]:
-        """First node of every word of a batch, and a lattice with all of them: the kept ones, then the batch's own."""
-        root = {w: self.root.get(w) for w in set().union(*words)}
-        new = [w for w, at in root.items() if at is None]
-        if not new:
-            return root, self.store
-        roots, more = build(new, self.vocab, self.alpha, self.nodes)
-        fresh = dict(zip(new, roots.tolist()))
-        for name, used, part in (("first", self.nodes, more.first + self.arcs), ("to", self.arcs, more.to), ("share", self.arcs, more.share), ("piece", self.arcs, more.piece)):
-            have = getattr(self.store, name)
-            if len(have) < used + len(part):
-                setattr(self.store, name, have := np.concatenate([have[:used], np.zeros(2 * (used + len(part)) - used, have.dtype)]))
-            have[used : used + len(part)] = part
-        if len(self.root) < CACHE_WORDS and sum(map(len, new)) < 4_000_000:
-            self.root |= fresh
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)  # of each word, in order of first sight
+        self.root = np.zeros(1 << 16, np.int64)  # first node of each word
+        self.nodes = self.arcs = 0
+        n = CACHE_ARCS + 1_000_000  # zeros: memory is taken as it is written
+        self.store = Lattice(np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n), np.zeros(n, np.int32))
+
+    def lattice(self, words: list[list[str]]) -> tuple[np.ndarray, Lattice]:
+        """First node of every word of a batch, in order, and a lattice with all of them."""
+        if self.arcs > CACHE_ARCS:
+            self.forget()
+        before = len(self.number)
+        numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64)
+        new = list(islice(reversed(self.number), len(self.number) - before))[::-1]
+        if new:
+            roots, more = build([SPACE + w for w in new], self.vocab, self.alpha, self.nodes)
+            for name, used, part in (("first", self.nodes, more.first + self.arcs), ("to", self.arcs, more.to), ("share", self.arcs, more.share), ("piece", self.arcs, more.piece)):
+                have = getattr(self.store, name)
+                if len(have) < used + len(part):
+                    setattr(self.store, name, have := np.concatenate([have[:used], np.zeros(2 * (used + len(part)) - used, have.dtype)]))
+                have[used : used + len(part)] = part
+            if len(self.root) < before + len(new):
+                self.root = np.concatenate([self.root, np.zeros(before + len(new), np.int64)])
+            self.root[before : before + len(new)] = roots
             self.nodes, self.arcs = self.nodes + len(more.first) - 1, self.arcs + len(more.to)
-        return root | fresh, self.store
+        return self.root[numbers], self.store
 
     def sample(self, keys: list[int], texts: list[str | None], k: int = SAMPLES) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(text, sample, ids, log p, perturbed log p, log inclusion) of k segmentations of each text, or of all where there are fewer."""
-        split = [_word.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts]
-        roots, lat = self.lattice(split)
+        # a word is known by what follows its first blank, which every word has
+        split = [_words(t) if t else [] for t in texts]
+        root, lat = self.lattice(split)
         counts = np.array([len(s) for s in split])
-        root = np.fromiter(map(roots.__getitem__, chain.from_iterable(split)), np.int64, counts.sum())
         word_at = np.cumsum(counts) - counts
         n = len(texts)
         key = _hash(np.array(keys, np.int64).astype(np.uint64) + np.uint64(77))
@@ -237,14 +261,14 @@ class Sampler:
         live = np.arange(n)
         done: list[list[tuple]] = [[] for _ in range(n)]
         for r in range(k):
-            path, arcs_at, sib = self._follow(lat, root, word_at, counts, live, start_word, start_node, key, r)
-            share = np.r_[0.0, np.cumsum(lat.share[path])]
-            before = start_phi[live] - share[arcs_at[:-1]]  # of each text: log p up to its place, less the sum ahead of it
-            opened = self._open(lat, sib, value[live], share[:-1], before, arcs_at, k - r)
+            path, arcs_at, before, siblings = self._follow(lat, root, word_at, counts, live, start_word, start_node, key, r, k - r)
+            opened = siblings(value[live], start_phi[live])
             for q, i in enumerate(live.tolist()):
-                arcs = np.concatenate([prefix[i], path[arcs_at[q] : arcs_at[q + 1]]])
-                done[i].append((arcs, before[q] + share[arcs_at[q + 1]], value[i]))
-                front[i] += [(g, arcs, len(prefix[i]) + at, arc, phi, word) for g, at, arc, phi, word in opened.get(q, ())]
+                a, b = arcs_at[q], arcs_at[q + 1]
+                arcs = np.concatenate([prefix[i], path[a:b]])
+                phi = start_phi[i] + (before[b - 1] + lat.share[path[b - 1]] if b > a else 0.0)
+                done[i].append((arcs, phi, value[i]))
+                front[i] += [(g, arcs, len(prefix[i]) + at, arc, lp, word) for g, at, arc, lp, word in opened.get(q, ())]
                 front[i].sort(key=lambda o: -o[0])
                 del front[i][k - r :]
             nxt = [i for i in live.tolist() if front[i]]
@@ -263,75 +287,94 @@ class Sampler:
                 inclusion = 0.0 if np.isinf(kappa) else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))) if x > -30 else x)
                 yield i, s, self._ids(lat.piece[arcs]), float(phi), float(g), inclusion
 
-    def _follow(self, lat, root, word_at, counts, live, start_word, start_node, key, r):
-        """Most likely perturbed arcs from each live text's place to its end, and the siblings met, all words in step."""
+    def _follow(self, lat, root, word_at, counts, live, start_word, start_node, key, r, m):
+        """Most likely perturbed arcs from each live text's place to its end, all words in step, and the m best siblings.
+
+        Returns the arcs of all texts, where each text's begin, the running log-probability before each arc
+        (counted from the text's place), and a function that gives the siblings once values are known.
+        """
         words = counts[live] - start_word[live]
         total = int(words.sum())
         text = np.repeat(np.arange(len(live)), words)
         nth = np.arange(total) - np.repeat(np.cumsum(words) - words, words)  # word of the text, from its place on
-        node = root[word_at[live][text] + start_word[live][text] + nth]
+        word = start_word[live][text] + nth
+        node = root[word_at[live][text] + word]
         begun = (nth == 0) & (start_node[live][text] >= 0)
         node[begun] = start_node[live][text[begun]]
-        noise = key[live][text] + _hash(((start_word[live][text] + nth).astype(np.uint64) << np.uint64(20)) + np.uint64(r + 1))
+        noise = key[live][text] + _hash((word.astype(np.uint64) << np.uint64(20)) + np.uint64(r + 1))
+
+        def perturbed(node, base, size, salt):
+            """Arcs of nodes, their perturbed shares, each node's largest, and the node each arc leaves."""
+            ends = np.cumsum(size)
+            begin = ends - size
+            owner = np.repeat(np.arange(len(node)), size)
+            ramp = np.arange(ends[-1])
+            arc = ramp + (base - begin)[owner]
+            u = _gumbel(ramp.astype(np.uint64) * _STEP + (salt - begin.astype(np.uint64) * _STEP)[owner])
+            u += lat.share[arc]
+            return arc, u, np.maximum.reduceat(u, begin), owner
+
         at = np.arange(total)
         steps: list[tuple] = []
         depth = 0
         while True:
-            size = lat.first[node + 1] - lat.first[node]
-            going = size > 0
-            at, node, size = at[going], node[going], size[going]
-            if not len(at):
+            base = lat.first[node]
+            size = lat.first[node + 1] - base
+            going = np.flatnonzero(size)
+            if not len(going):
                 break
-            ends = np.cumsum(size)
-            begin = ends - size
-            owner = np.repeat(np.arange(len(at)), size)
-            arc = np.arange(ends[-1]) + (lat.first[node] - begin)[owner]
-            salt = noise[at] + np.uint64(depth * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-            u = _gumbel(salt[owner] + (arc - lat.first[node][owner]).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-            u += lat.share[arc]
-            top = np.maximum.reduceat(u, begin)
-            best = u == top[owner]
-            chosen = np.flatnonzero(best)
-            if len(chosen) > len(at):  # equal values: the first arc
-                chosen = chosen[np.r_[True, np.diff(owner[chosen]) > 0]]
-            rest = np.flatnonzero(~best)
-            steps.append((at, arc[chosen], at[owner[rest]], arc[rest], u[rest], top[owner[rest]]))
-            node = lat.to[arc[chosen]].astype(np.int64)
+            if len(going) < len(at):
+                at, node, base, size = at[going], node[going], base[going], size[going]
+            arc, u, top, owner = perturbed(node, base, size, noise[at] + np.uint64(depth * _DEPTH & 0xFFFFFFFFFFFFFFFF))
+            best = np.flatnonzero(u == top[owner])
+            if len(best) > len(at):  # equal values: the first arc
+                best = best[np.r_[True, np.diff(owner[best]) > 0]]
+            chosen = arc[best]
+            steps.append((at, chosen, node))
+            node = lat.to[chosen].astype(np.int64)
             depth += 1
         length = np.zeros(total, np.int64)
         for s in steps:
             length[s[0]] += 1
         place = np.cumsum(length) - length
-        path = np.empty(int(length.sum()), np.int64)
+        path, passed = np.empty(int(length.sum()), np.int64), np.empty(int(length.sum()), np.int64)
         for d, s in enumerate(steps):
-            path[place[s[0]] + d] = s[1]
+            spot = place[s[0]] + d
+            path[spot], passed[spot] = s[1], s[2]
         arcs_at = np.r_[0, np.cumsum(np.bincount(text, length, len(live)).astype(np.int64))]
-        if not steps:
-            return path, arcs_at, None
-        who = np.concatenate([s[2] for s in steps])
-        where = place[who] + np.repeat(np.arange(len(steps)), [len(s[2]) for s in steps])
-        return path, arcs_at, (text[who], where, *(np.concatenate([s[c] for s in steps]) for c in (3, 4, 5)), start_word[live][text[who]] + nth[who])
-
-    @staticmethod
-    def _open(lat, sib, value, share, before, arcs_at, m):
-        """The best m siblings of each text's path: their values given that the path's is the largest below its nodes."""
-        if sib is None or not len(sib[0]):
-            return {}
-        text, where, arc, u, top, word = sib
-        phi = before[text] + share[where]
-        v = value[text] - (phi + u) + np.log1p(-np.exp(u - top))
-        g = value[text] - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
-        out: dict[int, list] = {}
-        for _ in range(m):
-            best = np.full(len(value), -np.inf)
-            np.maximum.at(best, text, g)
-            at = np.flatnonzero((g == best[text]) & (g > -np.inf))
-            _, first = np.unique(text[at], return_index=True)
-            for p in at[first].tolist():
-                q = int(text[p])
-                out.setdefault(q, []).append((float(g[p]), int(where[p] - arcs_at[q]), int(arc[p]), float(phi[p] + lat.share[arc[p]]), int(word[p])))
-            g[at[first]] = -np.inf
-        return out
+        upto = np.r_[0.0, np.cumsum(lat.share[path])]
+        before = upto[:-1] - np.repeat(upto[arcs_at[:-1]], np.diff(arcs_at))
+
+        def siblings(value: np.ndarray, phi: np.ndarray) -> dict[int, list[tuple]]:
+            """By text: (value, arc number, arc, log p, word) of its best open siblings, given the path's value and the place's log p."""
+            seen = np.flatnonzero(before >= -DEEP)
+            if not len(seen):
+                return {}
+            whose = np.repeat(np.arange(total), length)[seen]
+            base = lat.first[passed[seen]]
+            level = (seen - place[whose]).astype(np.uint64) * np.uint64(_DEPTH)
+            arc, u, top, owner = perturbed(passed[seen], base, lat.first[passed[seen] + 1] - base, noise[whose] + level)
+            rest = np.flatnonzero(arc != path[seen][owner])
+            arc, u, owner = arc[rest], u[rest], owner[rest]
+            mine = text[whose][owner]
+            own = phi[mine] + before[seen][owner]
+            # conditioned on the largest below the node being the path's value
+            with np.errstate(divide="ignore"):
+                v = value[mine] - (own + u) + np.log1p(-np.exp(u - top[owner]))
+            g = value[mine] - np.maximum(v, 0) - np.log1p(np.exp(-np.abs(v)))
+            out: dict[int, list[tuple]] = {}
+            for _ in range(m):
+                best = np.full(len(value), -np.inf)
+                np.maximum.at(best, mine, g)
+                hit = np.flatnonzero((g == best[mine]) & (g > -np.inf))
+                _, first = np.unique(mine[hit], return_index=True)
+                for p in hit[first].tolist():
+                    q, o = int(mine[p]), owner[p]
+                    out.setdefault(q, []).append((float(g[p]), int(seen[o] - arcs_at[q]), int(arc[p]), float(own[p] + lat.share[arc[p]]), int(word[whose[o]])))
+                g[hit[first]] = -np.inf
+            return out
+
+        return path, arcs_at, before, siblings
 
     def _ids(self, pieces: np.ndarray) -> np.ndarray:
         spelled = np.flatnonzero(pieces < 0)
@@ -407,6 +450,6 @@ def digest(samples: pd.DataFrame, model: str) -> pd.DataFrame:
     vocab = _sampler(model, ALPHA).vocab
     new = {
         "n_ids": [len(x) for x in samples["ids"]], "ids_crc32": [zlib.crc32(x.astype("<i4").tobytes()) for x in samples["ids"]],
-        "text_crc32": [zlib.crc32(vocab.decode(x.tolist()).encode()) for x in samples["ids"]],
+        "text_crc32": [zlib.crc32(vocab.decode_bytes(x.tolist())) for x in samples["ids"]],
     }
     return samples.drop(columns="ids").assign(**new)

@@ -115,7 +115,7 @@ class CachedTokenizer:
         split = [[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         before = len(self.number)
         numbers = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int32)
-        start, length, ids = self.encode_words(list(islice(self.number, before, None)))
+        start, length, ids = self.encode_words(list(islice(reversed(self.number), len(self.number) - before))[::-1])
         self.start = np.concatenate([self.start, len(self.ids) + start])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, ids])

@@ -395,7 +395,7 @@ def seeded(spark, sf_dir, alpha=0.5):
 
 @query(f"WITH {FLOW}, {WEIGHTS}, {SEED} SELECT i, j, round(v, 4) AS value, block FROM seed")
 def split_seed(spark, sf_dir):
-    return seeded(spark, sf_dir)[2].select("i", "j", v("value", 4), "block")
+    return seeded(spark, sf_dir)[2].select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), v("value", 4), "block")
 
 
 @query(f"""WITH {FLOW}, {WEIGHTS}, m AS (SELECT z.i, w.part, w.w * CASE WHEN z.i % 3 = w.part % 3 THEN 2.0 ELSE 1.0 END AS wm FROM z, w WHERE z.j = {PARENT})
@@ -403,13 +403,13 @@ SELECT i, part, round(wm / sum(wm) OVER (PARTITION BY i), 9) AS share FROM m""")
 def split_profiled_shares(spark, sf_dir):
     t, w = io(spark, sf_dir), weights(spark, sf_dir)
     profile = t.z.where(F.col("j") == PARENT).select("i").join(w.select("part")).where("i % 3 = part % 3").withColumn("m", F.lit(2.0))
-    return split.profile_shares(t.z, PARENT, w, profile).select("i", "part", v("share", 9, "share"))
+    return split.profile_shares(t.z, PARENT, w, profile).select("i", F.col("part").cast("long").alias("part"), v("share", 9, "share"))
 
 
 @query(f"WITH {FLOW}, {WEIGHTS} SELECT j, round(v, 4) AS value FROM va WHERE j <> {PARENT} UNION ALL SELECT part, round(v * w, 4) FROM va, w WHERE j = {PARENT}")
 def split_va_rows(spark, sf_dir):
     t, w = io(spark, sf_dir), weights(spark, sf_dir)
-    return split.split_margin(t.va, "j", PARENT, w).select("j", v("value", 4))
+    return split.split_margin(t.va, "j", PARENT, w).select(F.col("j").cast("long").alias("j"), v("value", 4))
 
 
 INNER = f"""o AS (SELECT part, (SELECT v FROM x WHERE i = {PARENT}) * w - coalesce((SELECT sum(v) FROM y WHERE i = {PARENT}), 0) * w - coalesce((SELECT sum(v) FROM seed WHERE i = part AND block <> 'inner'), 0) AS r,
@@ -619,7 +619,7 @@ def credibility_mad(spark, sf_dir):
     return diagnostics.mad_outliers(ratio, ["g"]).select("g", "code", v("value", 7), v("median", 7, "median"), v("mad", 7, "mad"), "outlier")
 
 
-@query("""WITH t AS (SELECT p_type AS code, sum(l_tax * l_extendedprice) AS t, sum(l_extendedprice) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT code, round(t / b, 9) AS rate, 0.04 AS legal, t / b > 0.04 + 1e-9 AS flagged FROM t""")
+@query("""WITH t AS (SELECT p_type AS code, sum(l_tax * l_extendedprice) AS t, sum(l_extendedprice) AS b FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) SELECT code, round(t / b, 9) AS rate, 0.04::DOUBLE AS legal, t / b > 0.04 + 1e-9 AS flagged FROM t""")
 def implied_tax_rate(spark, sf_dir):
     item = fixture.read(spark, sf_dir, "lineitem").join(fixture.read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     sums = item.groupBy(F.col("p_type").alias("code")).agg(F.sum(F.col("l_tax") * F.col("l_extendedprice")).alias("t"), F.sum("l_extendedprice").alias("b"))

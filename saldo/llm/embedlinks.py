@@ -34,6 +34,7 @@ COARSE = 1e-4
 
 def _unit(rows: pd.Series) -> np.ndarray:
     x = np.array(rows.tolist(), np.float64).reshape(len(rows), -1)
+    x /= np.abs(x).max(1, keepdims=True)  # squares then neither overflow nor vanish
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -90,7 +91,8 @@ def _join_cell(threshold: float):
                 exact = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
                 ok = exact >= threshold
                 for k in np.flatnonzero(np.abs(exact - threshold) <= SLACK):  # on the edge: the plain formula on the vectors as given
-                    p, q = np.asarray(pdf["v"].iat[i[k]], float), np.asarray(pdf["v"].iat[j[k]], float)
+                    p, q = (np.asarray(pdf["v"].iat[r], float) for r in (i[k], j[k]))
+                    p, q = p / np.abs(p).max(), q / np.abs(q).max()
                     ok[k] = (p @ q) / (np.sqrt(p @ p) * np.sqrt(q @ q)) >= threshold
                 i, j = i[ok], j[ok]
                 links += np.bincount(np.searchsorted(mine, i), weight[j], len(mine)).astype(np.int64)

@@ -47,6 +47,12 @@ def test_matches_brute_force(spark, n_pivots, home_rows):
     assert sorted(tuple(r) for r in got.collect()) == brute(ids, vectors)
 
 
+def test_very_large_and_small_components(spark):
+    vectors = [[1e200, 2e200], [1.0, 2.0], [1e-200, 2e-200], [2.0, -1.0]]
+    got = embedlinks.near_duplicates(spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 2, 0), (1, 2, 0), (2, 2, 0), (3, 0, 3)]
+
+
 def test_empty(spark):
     assert embedlinks.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

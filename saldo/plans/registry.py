@@ -544,6 +544,46 @@ def id12_leontief(spark, sf_dir):
     return identities.report(identities.leontief_solution(table.leontief_inverse(table.coefficients(t.z, t.x), t.x), final, t.x)).select("name", "rows", "failed", "passed")
 
 
+@query(f"WITH {SUT} SELECT 'ID-03' AS name, count(DISTINCT a) AS rows, 0::BIGINT AS failed, true AS passed FROM sold")
+def id03_value_added_parts(spark, sf_dir):
+    """Output by region against the same by part type, as value added and its components."""
+    s = fixture.supply_use(spark, sf_dir)
+    return identities.report(identities.value_added_parts(s.v.groupBy("a").agg(F.sum("value").alias("value")), s.v)).select("name", "rows", "failed", "passed")
+
+
+@query("SELECT 'ID-06' AS name, 1::BIGINT AS rows, 0::BIGINT AS failed, true AS passed")
+def id06_gdp(spark, sf_dir):
+    """Total sales from the supply side, from the use side, and from the table's outputs."""
+    s, t = fixture.supply_use(spark, sf_dir), io(spark, sf_dir)
+    one = lambda df, name: df.agg(F.sum("value").alias(name))
+    df = one(s.v, "supply").join(one(s.u.select("value").unionByName(s.y.select("value")), "use")).join(one(t.x, "output"))  # one row each
+    return identities.report(identities.gdp(F.col("supply"), F.col("use"), F.col("output"), df)).select("name", "rows", "failed", "passed")
+
+
+@query(f"WITH {FLOW} SELECT 'ID-08' AS name, 1::BIGINT AS rows, 0::BIGINT AS failed, true AS passed")
+def id08_residuals_cancel(spark, sf_dir):
+    """Value added and final demand of the whole table cancel: what is earned is what is finally bought."""
+    t = io(spark, sf_dir)
+    both = t.va.select("value").unionByName(t.y.select((-F.col("value")).alias("value")))
+    return identities.report(identities.sums_to_zero(both)).select("name", "rows", "failed", "passed")
+
+
+@query(f"WITH {SUT} SELECT 'ID-14' AS name, count(DISTINCT a) AS rows, 0::BIGINT AS failed, true AS passed FROM su")
+def id14_intermediate_totals(spark, sf_dir):
+    s = fixture.supply_use(spark, sf_dir)
+    stated = s.u.groupBy("a").agg(F.sum("value").alias("value"))
+    return identities.report(identities.intermediate_totals(s.u, stated)).select("name", "rows", "failed", "passed")
+
+
+@query(f"""WITH {FLOW}, {SUT.strip()} SELECT 'ID-01' AS name, count(DISTINCT p) AS rows, true AS passed FROM sv UNION ALL SELECT 'ID-07 industries', count(DISTINCT a), true FROM sv UNION ALL SELECT 'ID-07 products', count(DISTINCT p), true FROM sv
+UNION ALL SELECT 'ID-11 columns', count(*), true FROM x UNION ALL SELECT 'ID-11 rows', count(*), true FROM x""")
+def check_report(spark, sf_dir):
+    s, t = fixture.supply_use(spark, sf_dir), io(spark, sf_dir)
+    q, g = s.v.groupBy("p").agg(F.sum("value").alias("value")), s.v.groupBy("a").agg(F.sum("value").alias("value"))
+    checks = identities.product_balance(s.v, s.v.where("false"), s.u, s.y).unionByName(identities.supply_totals(s.v, q, g)).unionByName(identities.table_balance(table.balance(t.z, t.y, t.va, t.x)))
+    return identities.report(checks).select("name", "rows", "passed")
+
+
 @query("""WITH m AS (SELECT p_type AS p, CASE WHEN p_type LIKE 'PROMO%' THEN -(SELECT sum(p_retailprice) FROM part WHERE p_type NOT LIKE 'PROMO%') / (SELECT count(DISTINCT p_type) FROM part WHERE p_type LIKE 'PROMO%') ELSE sum(p_retailprice) END AS v FROM part GROUP BY 1)
 SELECT 'ID-19' AS name, 1::BIGINT AS rows, 0::BIGINT AS failed, true AS passed UNION ALL SELECT 'ID-19 signs', 1, count(*) FILTER (v < 0 AND p NOT LIKE 'PROMO%'), count(*) FILTER (v < 0 AND p NOT LIKE 'PROMO%') = 0 FROM m""")
 def id19_margin_column(spark, sf_dir):
@@ -627,6 +667,29 @@ def implied_tax_rate(spark, sf_dir):
     return diagnostics.implied_tax(named("t"), named("b"), sums.select("code", F.lit(0.04).alias("value"))).select("code", v("rate", 9, "rate"), "legal", "flagged")
 
 
+YEARS = "y AS (SELECT o_orderpriority AS code, year(o_orderdate) AS y, sum(o_totalprice) AS v, count(*) AS n FROM orders WHERE year(o_orderdate) IN (1996, 1997) GROUP BY 1, 2)"
+
+
+def _years(spark, sf_dir):
+    order = fixture.read(spark, sf_dir, "orders").where(F.year("o_orderdate").isin(1996, 1997))
+    return order.groupBy(F.col("o_orderpriority").alias("code"), F.year("o_orderdate").alias("y")).agg(F.sum("o_totalprice").alias("output"), F.count(F.lit(1)).cast("double").alias("workers"))
+
+
+@query(f"WITH {YEARS}, g AS (SELECT b.code, (b.v / b.n) / (a.v / a.n) - 1 AS g FROM y a JOIN y b ON a.code = b.code AND a.y = 1996 AND b.y = 1997) SELECT code, round(g, 9) AS growth, g < 0 OR g > 0.1 AS flagged FROM g")
+def labour_productivity(spark, sf_dir):
+    """Order value per order as output per worker."""
+    y = _years(spark, sf_dir)
+    return diagnostics.productivity(y.where("y = 1997"), y.where("y = 1996")).select("code", (F.round("growth", 9) + 0.0).alias("growth"), "flagged")
+
+
+@query(f"WITH {YEARS}, g AS (SELECT b.code, 100 * b.v / a.v - 100.0 * b.n / a.n AS g FROM y a JOIN y b ON a.code = b.code AND a.y = 1996 AND b.y = 1997) SELECT code, round(g, 7) AS gap, abs(g) > 5 AS flagged FROM g")
+def volume_coherence(spark, sf_dir):
+    y = _years(spark, sf_dir)
+    both = y.where("y = 1997").join(y.where("y = 1996").select("code", F.col("output").alias("o0"), F.col("workers").alias("w0")), "code")
+    index = lambda a, b: both.select("code", (100 * F.col(a) / F.col(b)).alias("volume"))
+    return diagnostics.volume_coherence(index("output", "o0"), index("workers", "w0")).select("code", (F.round("gap", 7) + 0.0).alias("gap"), "flagged")
+
+
 @query("""WITH g AS (SELECT n_name AS code, sum(c_acctbal) AS gap, sum(abs(c_acctbal)) AS scale, count(*) % 2 = 0 AS fired FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
 SELECT code, round(gap, 4) AS gap, CASE WHEN abs(gap) <= 1 + 0.001 * abs(scale) AND NOT fired THEN 'automatic' WHEN abs(gap) > 1 + 0.001 * abs(scale) THEN 'too large' ELSE 'diagnostic fired' END AS verdict FROM g""")
 def discrepancy_triage(spark, sf_dir):

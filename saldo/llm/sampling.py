@@ -80,6 +80,17 @@ def _words(text: str) -> list[str]:
     return [w[1:] for w in _word.findall((SPACE + text).replace(" ", SPACE))]
 
 
+_ramps = [np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+
+
+def _ramp(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """0 to n - 1, and the same times _STEP; views of arrays that are kept."""
+    if len(_ramps[0]) < n:
+        _ramps[0] = np.arange(2 * n)
+        _ramps[1] = _ramps[0].astype(np.uint64) * _STEP
+    return _ramps[0][:n], _ramps[1][:n]
+
+
 class Vocabulary:
     """Pieces of a SentencePiece file by a hash of their code points, and the log-probability of each id."""
 
@@ -307,10 +318,10 @@ class Sampler:
             """Arcs of nodes, their perturbed shares, each node's largest, and the node each arc leaves."""
             ends = np.cumsum(size)
             begin = ends - size
-            owner = np.repeat(np.arange(len(node)), size)
-            ramp = np.arange(ends[-1])
+            ramp, steps_ = _ramp(int(ends[-1]))
+            owner = np.repeat(ramp[: len(node)], size)
             arc = ramp + (base - begin)[owner]
-            u = _gumbel(ramp.astype(np.uint64) * _STEP + (salt - begin.astype(np.uint64) * _STEP)[owner])
+            u = _gumbel(steps_ + (salt - steps_[begin])[owner])
             u += lat.share[arc]
             return arc, u, np.maximum.reduceat(u, begin), owner
 

@@ -20,6 +20,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", metavar="FOLDER", default="outputs")
     p.add_argument("--find", nargs="+", metavar=("CODE", "CUBE"), help="where a code is published")
     p.add_argument("--query", nargs=2, metavar=("NAME", "FOLDER"), help="run a registered query and show it")
+    p.add_argument("--regionalise", metavar="ACTIVITY", help="regional table from an activity CSV")
+    p.add_argument("--national", metavar="BUNDLE", help="interchange folder of the national table")
+    p.add_argument("--method", default="FLQ", choices=["SLQ", "CILQ", "RLQ", "FLQ"])
+    p.add_argument("--delta", type=float, help="exponent of FLQ; there is no default")
     args = p.parse_args(argv)
     from saldo.plans import catalogue, config, report, scenario
     from saldo.sources import files, fixture
@@ -37,6 +41,13 @@ def main(argv: list[str] | None = None) -> int:
 
         QUERIES[args.query[0]](spark, args.query[1]).show(50, False)
         return 0
+    if args.regionalise:
+        if not args.national:
+            p.error("--regionalise needs --national")
+        from saldo.plans import regionalise
+
+        regionalise.run_files(spark, args.national, args.regionalise, args.out, args.method, args.delta)["imports"].show(50, False)
+        return 0
     if not args.project:
         p.error("a project file, --template, --find or --query is needed")
     spec = config.load(args.project)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saldo.functions.lineage import cut
+
 INTERMEDIATE = ("BUILDING", "MACHINERY")
 TABLE_ID = "stars"
 
@@ -44,8 +46,11 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def io_table(spark: SparkSession, sf_dir: str) -> Table:
-    """The table of live sectors; final-demand columns are the other segments and DEAD."""
-    flow = flows(spark, sf_dir).withColumn("table_id", F.lit(TABLE_ID))
+    """The table of live sectors; final-demand columns are the other segments and DEAD.
+
+    The flows, nations squared times segments, are written once, so that the line items are read once for all blocks.
+    """
+    flow = cut(flows(spark, sf_dir).withColumn("table_id", F.lit(TABLE_ID)))
     x = flow.groupBy("table_id", "i").agg(F.sum("value").alias("value"))
     live = x.select("table_id", F.col("i").alias("j"), F.lit(True).alias("live"))
     marked = flow.join(live, ["table_id", "j"], "left")
@@ -79,7 +84,7 @@ def supply_use(spark: SparkSession, sf_dir: str) -> SupplyUse:
     order = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     sold = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
     sold = sold.join(order, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("p", "a", "o_custkey").agg(F.sum("value").alias("value"))
-    sold = sold.join(buyer, F.col("o_custkey") == F.col("c_custkey")).groupBy("p", "a", "b", "seg").agg(F.sum("value").alias("value"))
+    sold = cut(sold.join(buyer, F.col("o_custkey") == F.col("c_custkey")).groupBy("p", "a", "b", "seg").agg(F.sum("value").alias("value")))
     inner = F.col("seg").isin(*INTERMEDIATE)
     return SupplyUse(
         sold.groupBy("p", "a").agg(F.sum("value").alias("value")),

@@ -98,3 +98,22 @@ def test_neighbours_share_windows():
     words = [np.array(w, np.int32) for w in ([1, 2, 3, 9], [4, 5, 6, 9], [1, 2, 3, 9], [4, 5, 6, 9])]
     pieces = packing.order_and_cut(np.array([4, 4, 4, 4]), packing.Bm25(words), 8)
     assert [[p[0] for p in pieces if p[3] == s] for s in (0, 1)] == [[0, 2], [1, 3]]
+
+
+def test_seeds_of_many_terms_match_the_formula():
+    rng = np.random.default_rng(7)
+    docs = [rng.integers(0, 120, 90).astype(np.int32) for _ in range(50)]
+    index = packing.Bm25(docs)
+    df = np.array([sum(t in d for d in docs) for t in range(120)])
+    idf = np.log1p((50 - df + 0.5) / (df + 0.5))
+    for seed in range(50):
+        terms = [t for t in set(docs[seed].tolist()) if df[t] > 1]
+        assert len(terms) > packing.QUERY_TERMS
+        score = np.array([sum(idf[t] * (tf := int((d == t).sum())) * 2.2 / (tf + 1.2) for t in terms) for d in docs])
+        used = np.arange(50) % 3 == 0
+        used[seed] = True
+        want = sorted(np.flatnonzero(~used).tolist(), key=lambda k: (-score[k], k))[:8]
+        assert np.allclose(score[index.neighbours(seed, used)], score[want])
+        # with only the last three left unused, each still counts as a neighbour
+        used = np.arange(50) < 47
+        assert len(index.neighbours(seed, used)) == 3

@@ -1,11 +1,13 @@
 """Lexical retrieval packing.
 
 Documents are tokenised and packed into windows of WINDOW tokens so that a window holds lexically close
-documents. Input partitions are read in shards of about SHARD_CHARS characters; each shard has its own
-BM25 inverted index. A seed document opens a window; the index returns its best unused neighbours, which
-fill the window in order of score. A document that overflows is cut there, and its rest is the next
-window's seed. A shard's last window is cut into powers of two, which need no padding. Nothing is
-shuffled: a shard is a stretch of one input partition, so no key or source can outgrow a task.
+documents. They are first brought together from all input partitions in order of a sketch, the SKETCH
+smallest hashes of their words, and then read in shards of about SHARD_CHARS characters; each shard has its
+own BM25 inverted index. A seed document opens a window; the index returns its best unused neighbours by all
+of its terms, which fill the window in order of score. A document that overflows is cut there, and its rest
+is the next window's seed. A shard's last window is cut into powers of two, which need no padding. The order
+is dealt by ranges that end in the row's number, so no key or source can outgrow a task. It finds only part
+of the neighbours that one index of all documents would (README).
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 SHARD_CHARS = 4_000_000
+SKETCH = 3
 NEIGHBOURS = 8
 #: Terms past which a seed counts as long in the tests; retrieval uses all terms.
 QUERY_TERMS = 12
@@ -222,6 +225,15 @@ def order_and_cut(sizes: np.ndarray, index: Bm25, window: int = WINDOW) -> list[
     return pieces
 
 
+def by_sketch(docs: DataFrame) -> DataFrame:
+    """docs (i, t) in ranges of the smallest hashes of their texts' words, whichever partitions they come from."""
+    least = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.xxhash64(w))))
+    keys = [f"k{k}" for k in range(SKETCH)] + ["n"]
+    rows = docs.select("i", "t", F.slice(least, 1, SKETCH).alias("s"), F.monotonically_increasing_id().alias("n"))
+    rows = rows.select("i", "t", *[F.get("s", F.lit(k)).alias(f"k{k}") for k in range(SKETCH)], "n")
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("i", "t")
+
+
 _loaded: dict[str, CachedTokenizer] = {}
 
 
@@ -271,7 +283,7 @@ def pack(docs: DataFrame, tokenizer: str, *, text: str = "text", id_col: str = "
         if held:
             yield from shard(held_ids, held)
 
-    return docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return by_sketch(docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))).mapInPandas(run, schema)
 
 
 _names = [c.split()[0] for c in SCHEMA.split(", ")]

@@ -117,3 +117,14 @@ def test_seeds_of_many_terms_match_the_formula():
         # with only the last three left unused, each still counts as a neighbour
         used = np.arange(50) < 47
         assert len(index.neighbours(seed, used)) == 3
+
+
+def test_copies_from_other_partitions_share_windows(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 400, 60)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "doc_id long, text string")
+    of = defaultdict(set)
+    for r in packing.pack(df, PATH, window=512).collect():
+        of[r["doc_id"]].add(r["sequence_id"])
+    assert sum(bool(of[i] & of[100 + i]) for i in range(30)) >= 20

@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and a linear-chain conditional random field over tokens.
 
 The field tags tokens as secret begin, inside or outside from their shape, neighbouring words and
-features of the file, and is decoded by Viterbi. Tokens are runs of TOKEN characters. A token is a
-candidate when it has at least MIN_LENGTH characters and a digit; all other tokens are outside by
-definition, so a text's best tagging falls apart into its runs of neighbouring candidates, each decoded
-with an outside tag on either side. That is the exact Viterbi path of the whole text.
+features of the file, and is decoded by Viterbi. Tokens are runs of TOKEN characters. Tagged are all tokens
+of a line behind a key-like word, whatever their length and kind, and elsewhere those of at least MIN_LENGTH
+characters with a digit or mixed case, or of LONG characters. All other tokens are outside by definition, so
+a text's best tagging falls apart into its runs of neighbouring tokens, each decoded with an outside tag on
+either side. That is the exact Viterbi path of the whole text.
 
 The field is trained here, by gradient descent on the conditional likelihood, over labelled lines that a
 seeded generator writes (keys, tokens, passwords, against dates, numbers, addresses, versions, checksums).
@@ -34,6 +35,7 @@ ASSIGN_LENGTH, ACCESS_LENGTH = 12, 18
 MODEL_KIND = "crf"
 
 MIN_LENGTH = 8
+LONG = 20
 BUCKETS = 4096
 OUT, BEGIN, INSIDE = range(3)
 _digit = re.compile(r"[0-9]")
@@ -41,6 +43,12 @@ _token = re.compile(r"[A-Za-z0-9+/_=~!@#$%^&*.\-]+")
 _word = re.compile(r"\w")
 _core = re.compile(r"[A-Za-z0-9+/_=~].*[A-Za-z0-9+/_=~]", re.DOTALL)
 _near = 80
+_long = re.compile(rf"[A-Za-z0-9+/_=~!@#$%^&*.\-]{{{MIN_LENGTH},}}")
+_mixed = re.compile(r"[a-z][A-Z]|[A-Z]{2}[a-z]")
+_key_word = r"(?<![A-Za-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private)[_-]?key)(?![A-Za-z])"
+_key = re.compile(_key_word, re.ASCII | re.IGNORECASE)
+_just_before = re.compile(_key_word + r"""["']?\s*(=|:|is\b)?\s*["']?$""", re.ASCII | re.IGNORECASE)
+_alnum = re.compile(r"[A-Za-z0-9]")
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -69,10 +77,46 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield core.start(), core.end()
 
 
+def keyed(text: str) -> list[tuple[int, int, int]]:
+    """Start of a line's first key-like word, its end and the line's end, for every line that has one."""
+    found, upto = [], 0
+    while m := _key.search(text, upto):
+        end = text.find("\n", m.end())
+        upto = len(text) if end < 0 else end
+        found.append((m.start(), m.end(), upto))
+    return found
+
+
+def odd_tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Spans in a stretch of text of tokens that have a digit or mixed case, or are long."""
+    for m in _long.finditer(text, start, end):
+        core = _core.search(text, *m.span())
+        if core and len(core[0]) >= MIN_LENGTH and (_digit.search(core[0]) or _mixed.search(core[0]) or len(core[0]) >= LONG):
+            yield core.span()
+
+
+def tagged(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of all tokens that the field tags, in order."""
+    done = 0
+    for word, start, end in keyed(text):
+        yield from odd_tokens(text, done, word)
+        cuts = [start]  # every later key-like word ends a token too, so that its value is one of its own
+        for m in _key.finditer(text, start, end):
+            cuts += m.span()
+        for a, b in zip(cuts, [*cuts[1:], end]):
+            for m in _token.finditer(text, a, b):
+                core = m[0].rstrip("!@#$%^&*.-")
+                bare = core.lstrip("=!@#$%^&*.-")
+                if _alnum.search(bare):
+                    yield m.start() + len(core) - len(bare), m.start() + len(core)
+        done = end
+    yield from odd_tokens(text, done, len(text))
+
+
 def runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of neighbouring candidates: a few marks or blanks, and no word, lie between them."""
+    """Runs of neighbouring tagged tokens: a few marks or blanks, and no word, lie between them."""
     held: list[tuple[int, int]] = []
-    for a, b in candidates(text):
+    for a, b in tagged(text):
         if held and (a - held[-1][1] > 8 or _word.search(text, held[-1][1], a)):
             yield held
             held = []
@@ -109,6 +153,10 @@ def token_features(text: str, a: int, b: int, file: list[str]) -> list[int]:
     after = re.findall(r"[A-Za-z_]{2,}", text[b : b + _near])[:1]
     names += [f"b{k}:{w.lower()}" for k, w in enumerate(reversed(before))] + [f"b:{w.lower()}" for w in before] + [f"a:{w.lower()}" for w in after]
     names.append(f"edge:{text[max(0, a - 1) : a]}:{text[b : b + 1]}" if text[b : b + 1] in "\"'`,;)" else "edge")
+    key = _just_before.search(text, max(0, a - _near), a)
+    if key:
+        names += ["keyed", f"keyed:{(key[1] or '').lower()}", f"keyed:{(key[1] or '').lower()}:mix{mixed}len{min(len(token) // 4, 4)}"]
+    names.append(f"short{len(token)}" if len(token) < MIN_LENGTH else f"mixed{bool(_mixed.search(token))}:{bool(digits)}:{min(len(form.replace('+', '')) // 3, 8)}")
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in names + file]
 
 
@@ -165,7 +213,13 @@ def _lines(rng: random.Random) -> Iterator[tuple[str, list[tuple[int, int]]]]:
         lambda: rng.choice(["ghp_", "sk_live_", "sk-", "xoxb-", "glpat-"]) + pick(alnum, rng.randint(20, 36)), lambda: pick(alnum + "+/", rng.randint(24, 60)) + rng.choice(["", "=", "=="]),
         lambda: "eyJ" + pick(alnum, 20) + "." + pick(alnum, 30) + "." + pick(alnum, 30), lambda: word().capitalize() + pick("!@#$%^&*", 1) + digits(rng.randint(3, 5)) + pick(alnum, 4),
     ]
+    letters = alnum[:52]
+    bare = [  # without a digit
+        lambda: pick(letters, rng.randint(16, 40)), lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 4))), lambda: rng.choice(["ghp_", "sk_live_", "xoxb-"]) + pick(letters, rng.randint(20, 36)),
+    ]
+    named = [*bare, lambda: word() + pick(letters[26:], rng.randint(1, 4)), lambda: word() + pick("!@#$%^&*", 1) + word()]  # told by the word before only
     plain = [
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 3))), lambda: "".join(word().capitalize() for _ in range(3)), lambda: word() + word().capitalize() + word().capitalize(), lambda: "-".join(word() for _ in range(5)), lambda: f"www.{word()}{word()}.org/{word()}/{word()}", lambda: word() + word() + word(),
         lambda: digits(16), lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"+1-{digits(3)}-{digits(3)}-{digits(4)}", lambda: f"{digits(3)}-{digits(4)}",
         lambda: f"v{rng.randint(1, 9)}.{digits(2)}.{digits(2)}-{word()}", lambda: f"www.{word()}{digits(2)}.com/{word()}/{digits(3)}.html", lambda: f"{word()}{word()}{digits(rng.randint(1, 4))}", lambda: f"{digits(4)}.{digits(6)}",
         lambda: f"{word()}.{word()}{digits(2)}@{word()}.com", lambda: f"{word()}_{word()}_{digits(3)}.txt", lambda: f"{digits(9)}", lambda: f"{digits(3)},{digits(3)},{digits(3)}", lambda: f"0x{pick(hexa, 8)}", lambda: f"{word().upper()}-{digits(6)}",
@@ -182,7 +236,8 @@ def _lines(rng: random.Random) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                 text += rng.choice(keys) + rng.choice([" = ", "=", ": ", " ", " is ", ' = "', "='", ':"'])
                 text = text if rng.random() < 0.9 else text + word() + " "
                 for part in range(1 + (rng.random() < 0.15)):  # now and then a secret of two tokens
-                    s = rng.choice(secrets)()
+                    joint = text.rstrip(" \"'")[-1:] in ("=", ":")
+                    s = rng.choice((secrets if rng.random() < 0.6 else named if joint else bare[:1] + bare[2:]) if not part else secrets)()
                     if part:
                         text += " "
                         spans[-1] = (spans[-1][0], len(text) + len(s))
@@ -190,8 +245,10 @@ def _lines(rng: random.Random) -> Iterator[tuple[str, list[tuple[int, int]]]]:
                         spans.append((len(text), len(text) + len(s)))
                     text += s
                 text += rng.choice(['"', "'", "", "", ",", "."]) + rng.choice([" ", "\n"])
-            elif roll < 0.45:
-                s = rng.choice(secrets[:1] + secrets[2:6])()
+            elif roll < 0.42:  # a key-like word in prose
+                text += rng.choice(keys[:-1]) + rng.choice([" ", " is ", "s "]) + " ".join(word() for _ in range(rng.randint(1, 6))) + rng.choice([". ", "\n", " "])
+            elif roll < 0.52:
+                s = rng.choice(secrets[:1] + secrets[2:6] + bare[:1] + bare[2:])()
                 if s.isalnum() and s == s.lower():  # bare hex in running text: a checksum unless named a key
                     text += rng.choice(notes) + " " + s + " "
                 else:

@@ -89,3 +89,15 @@ def test_redact(spark, field):
     found = secrets.scan(df, field)
     got = {r[0]: r[1] for r in found.select("doc_id", secrets.redact(found["text"], found["spans"])).collect()}
     assert got == {1: "a [SECRET]' é [SECRET] z", 2: None, 3: "clean"}
+
+
+def test_secrets_without_digits(field):
+    texts = ["Authorization: Bearer qWeRtYuIoPaSdFgHjKlZ", "pwd=CorrectHorseBattery", "passwd: hunterx", "login with pwd = hunterx\nand go"]
+    for text, secret in zip(texts, ["qWeRtYuIoPaSdFgHjKlZ", "CorrectHorseBattery", "hunterx", "hunterx"]):
+        assert [text[a:b] for a, b in field.spans(text)] == [secret]
+    rng = random.Random(99)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters) for _ in range(24)) for _ in range(200)]
+    assert sum(field.spans(f"client_secret = {k}\n") == [(16, 40)] for k in keys) > 180
+    for text in ("The secret of the garden is a token of their love.", "Please reset the password before the next meeting.", "JavaScript and PostgreSQL at OpenStreetMap"):
+        assert not field.spans(text)

@@ -12,6 +12,8 @@ KINDS = ("fixture", "bundle", "components")
 METHODS = ("sut_euro", "sut_ras")
 #: Target kinds and the projection method they belong to.
 TARGETS = {"gva": "sut_euro", "final_use": "sut_euro", "industry_output": "sut_ras", "use_column_totals": "sut_ras", "taxes": None, "imports": None}
+#: Sections that are checked but that no project run uses, and what there is instead; a project with one is refused.
+UNUSED = {"targets": "call sut.project", "satellites": "call table.satellite_effects on the split table", "regionalise": "run the command line with --regionalise"}
 TRUE = ("yes", "true", "1", "y", "x")
 
 
@@ -117,6 +119,9 @@ def gaps(spec: dict, sectors: set[int]) -> list[tuple[str, str]]:
         block("targets mix those of both projection methods")
     if kinds and not wants:
         block("targets name neither value added and final use nor outputs and use totals")
+    for section, instead in UNUSED.items():
+        if spec.get(section):
+            block(f"{section}: a project run does not use this section; {instead}")
     region = spec.get("regionalise")
     if region:
         if region.get("method", "FLQ") == "FLQ" and region.get("delta") is None:

@@ -109,3 +109,14 @@ def test_small_operators(spark):
     neg = spark.createDataFrame([("va", 2), ("z", 1), ("y", 0)], "block string, negatives long")
     ok = spark.createDataFrame([("va", "subsidies")], "block string, reason string")
     assert {r["block"]: r["reason"] for r in diagnostics.negative_triage(neg, ok).collect()} == {"va": "subsidies", "z": "UNCLASSIFIED"}
+
+
+@pytest.mark.parametrize("section, value", [
+    ("targets", [{"kind": "gva"}]), ("regionalise", {"activity_path": "a.csv", "method": "FLQ", "delta": 0.2}),
+    ("satellites", [{"name": "jobs", "unit": "n", "sector_code": c, "value": 2} for c in (1, 2)]),
+])
+def test_sections_no_run_uses_are_refused(section, value):
+    spec = {"project": {"project_id": "p", "table_kind": "fixture"}, section: value}
+    assert [m for severity, m in config.gaps(spec, {1, 2}) if severity == "blocking"] == [f"{section}: a project run does not use this section; {config.UNUSED[section]}"]
+    with pytest.raises(TableError, match="does not use this section"):
+        config.build(spec, {1, 2})

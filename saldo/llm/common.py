@@ -2,45 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of up to 100 kB a batch stays below some tens of MB.
+from saldo.functions.lineage import cut as checkpointed
+
+#: Rows of one Arrow batch; Spark bounds its bytes besides (spark.sql.execution.arrow.maxBytesPerBatch).
 ARROW_ROWS = "1024"
 
+__all__ = ["checkpointed", "connected_components", "slices", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A driver table, only the named columns, with Arrow batches kept small."""
+    """A driver table, only the named columns. Sets the session's Arrow batches to ARROW_ROWS rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder of spark.checkpoint.dir; a temporary one only where unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="saldo-"))
-    return df.checkpoint(eager=True)
+def slices(sizes: list[int], bound: int) -> list[tuple[int, int]]:
+    """Consecutive stretches (start, end) of at most `bound` in all, one item at least."""
+    out, start, held = [], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and held + n > bound:
+            out.append((start, k))
+            start, held = k, 0
+        held += n
+    return out + [(start, len(sizes))] if len(sizes) > start else out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     edges: two long columns a and b, any order, repeats and loops allowed. Returns (node, component).
     Large-star and small-star rounds: each hangs neighbours on the smallest neighbour, until every
     component is a star around its smallest node. Only per-node minima are aggregated (combined before
     the shuffle) and joined back, so a node with very many links never becomes one collected list; AQE
-    can split such a key in the joins. Every round is checkpointed. An empty input gives no rows.
+    can split such a key in the joins. Every round is checkpointed. Rounds go on until one changes
+    nothing; each that does hangs a node on a smaller one. An empty input gives no rows.
     """
-    spark = edges.sparkSession
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     a, b, u, v, m = (F.col(c) for c in "abuvm")
     now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(u > v).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select("u", "v").unionByName(now.select(v.alias("u"), u.alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large-star: every larger neighbour hangs on the smallest one
@@ -53,6 +57,4 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if before == after:
             break
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(u.alias("node"), v.alias("component")).unionByName(now.select(v.alias("node"), v.alias("component")).distinct())

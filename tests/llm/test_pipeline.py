@@ -28,11 +28,13 @@ def test_pipeline_matches_plain_python(spark):
     kept = {i for i in kept if mood.score(rows[i]) < toxicity.THRESHOLD}
     marked = {r["doc_id"] for r in labels.where("toxic = 0").collect()}
     assert len(kept & marked) > 0.98 * len(marked & set(rows))
+    # five-word prints of 256 bits, all pairs; the stage may lose a link of likeness well below 0.8 only
+    cache = simhash._WordHashes()
+    fps = {i: int.from_bytes(simhash.wide_print(simhash.shingle_hashes(rows[i], cache))[0].tobytes(), "big") for i in kept}
     groups = []
     for i in sorted(kept):
-        f = simhash.fingerprint(rows[i])
-        near = [g for g in groups if any((f ^ x).bit_count() <= 3 for x in g[1])]
-        groups = [g for g in groups if g not in near] + [(min([i, *(g[0] for g in near)]), {f}.union(*(g[1] for g in near)))]
+        near = [g for g in groups if any((fps[i] ^ x).bit_count() <= simhash.WIDE_RADIUS for x in g[1])]
+        groups = [g for g in groups if g not in near] + [(min([i, *(g[0] for g in near)]), {fps[i]}.union(*(g[1] for g in near)))]
     kept = {g[0] for g in groups}
     field = secrets.train()
     texts = {}
@@ -56,3 +58,14 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() >= len(rows)
     docs = spark.createDataFrame(odd, kind)
     assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [0, 1, 2]
+
+
+def test_stages_keep_repeated_ids_long_texts_and_columns(spark, tmp_path):
+    """Different texts under one id both stay; clashing columns don't reach the result."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    long_ = " ".join(f"w{k * k % 9973}" for k in range(200_000))
+    rows = [(1, "the cat and the dog", "en", "s", 19, "a", 1), (1, long_, "en", "s", len(long_), "b", 2), (1, long_, "en", "s", len(long_), "c", 2), (2, "quite another text", "en", "s", 18, "d", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, _h long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = [(r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()]
+        assert set(got) == {(r[0], r[1]) for r in rows} and len(got) == (3 if name == "simhash" else 4), name

@@ -6,13 +6,13 @@ stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from saldo.functions.lineage import shared_folder
 from saldo.llm import langid, packing, secrets, simhash, toxicity
 from saldo.llm.common import table
 from saldo.llm.registry import held_out, tokenizer_path
@@ -35,11 +35,8 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: the row with the smallest doc_id of each group stays; rows without a doc_id stay."""
-    classes = simhash.near_duplicates(docs.where("doc_id IS NOT NULL"))
-    first = classes.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(first, "doc_id").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """SimHash near-dedup on five-word shingles, likeness 0.8: of each group the row of smallest doc_id stays (nulls last, then by content)."""
+    return simhash.keep_first(docs.select(*COLUMNS))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,13 +64,25 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of sf_dir; stages in between are written below spark.checkpoint.dir."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="saldo-")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The last stage's rows for the documents of sf_dir.
+
+    Each stage's rows are written below spark.checkpoint.dir; a stage's folder goes once the next one is
+    written. The last folder holds the result and is the caller's to remove.
+    """
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        folder = f"{at}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            _remove(spark, before)
+        before = folder
     return docs

@@ -111,7 +111,7 @@ FROM r GROUP BY conv_id"""
 def op2_embedlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.9 or more."""
     got = embedlinks.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
-    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 ORACLE_SQL["op2_embedlinks"] = """

@@ -37,13 +37,13 @@ def clouds(seed=0, dim=8):
     return out
 
 
-@pytest.mark.parametrize("n_pivots,home_rows", [(16, 8192), (5, 7), (1, 40)])
-def test_matches_brute_force(spark, n_pivots, home_rows):
+@pytest.mark.parametrize("max_pivots,chunk_rows,slice_rows,block", [(16, 8192, 8192, 2048), (5, 7, 30, 2), (40, 12, 1000, 5), (1, 40, 50, 16)])
+def test_matches_brute_force(spark, max_pivots, chunk_rows, slice_rows, block):
     vectors = clouds() + [None, [], [0.0] * 8, [1.0] * 7 + [None], [1.0] * 7 + [float("nan")], [float("inf")] * 8, [1.0, 0.0], [2.0, 0.0]]
     vectors += [vectors[0]] * 5 + [[2 * x for x in vectors[3]]]
     ids = [int(i) for i in np.random.default_rng(1).permutation(len(vectors)) * 3]
     df = spark.createDataFrame(list(zip(ids, vectors, [9] * len(ids))), "vec_id long, embedding array<double>, links int")
-    got = embedlinks.near_duplicates(df, n_pivots=n_pivots, home_rows=home_rows)
+    got = embedlinks.near_duplicates(df, max_pivots=max_pivots, chunk_rows=chunk_rows, slice_rows=slice_rows, block=block)
     assert sorted(tuple(r) for r in got.collect()) == brute(ids, vectors)
 
 
@@ -57,6 +57,25 @@ def test_empty(spark):
     assert embedlinks.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_null_and_large_ids(spark):
+    big = 2**60
+    near, far = [1.0, 0.01], [0.0, 1.0]
+    rows = [(1, [1.0, 0.0]), (1, far), (2, near), (3, [1.0, 0.0]), (None, [2.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (big + 1, [0.0, 2.0]), (big + 3, [-1.0, 0.01]), (None, [-1.0, 0.02])]
+    got = embedlinks.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    order = lambda r: tuple((x is not None, x or 0) for x in r)
+    want = [(1, 3, 1), (1, 1, 1), (2, 3, 1), (3, 3, 1), (None, 3, 1), (None, 2, big + 3), (None, 0, None), (big + 1, 1, 1), (big + 3, 2, big + 3), (None, 2, big + 3)]
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
+def test_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    vectors = [rng.normal(size=n).tolist() for n in range(1, 13) for _ in range(6)]
+    vectors += [[x * 3 + 1e-3 for x in v] for v in vectors[::4]]
+    ids = list(range(len(vectors)))
+    got = embedlinks.near_duplicates(spark.createDataFrame(list(zip(ids, vectors)), "vec_id long, embedding array<double>"), chunk_rows=3)
+    assert sorted(tuple(r) for r in got.collect()) == brute(ids, vectors)
+
+
 def test_query(spark):
     import duckdb
 

@@ -154,7 +154,7 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SpotSigs fingerprints of every document and of its text half replaced by the next document's."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = spotsigs.with_next(spotsigs.signatures(docs, "text", "sigs"), ["text", "sigs"], text="text", id_col="doc_id")
+    pairs = spotsigs.with_next(docs, ["text", "sigs"], text="text", id_col="doc_id", prepare=lambda rows: spotsigs.signatures(rows, "text", "sigs"))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     both = spotsigs.signatures(pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "sigs", "next_sigs", edited.alias("edited")), "edited", "edited_sigs")

@@ -11,13 +11,19 @@ Jaccard likeness is computed.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHAIN = 3
-#: Text per range of neighbouring documents, in characters.
-RANGE_CHARS = 16_000_000
+#: Text per range of neighbouring documents and per partition of ranges, in characters, and most ranges.
+RANGE_CHARS = 1_000_000
+PART_CHARS = 64_000_000
+MAX_RANGES = 100_000
+_SUB = 1 << 20
 MARK = "\x01"
 #: Anchors: frequent function words of English, French, German and Spanish. Fixed values.
 ANCHORS = (
@@ -75,32 +81,62 @@ def likeness(a: Column, b: Column, floor: float = 0.0) -> Column:
     return F.when(large == 0, 1.0).when((small == 0) | (small < floor * large), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def with_next(docs: DataFrame, carry: list[str], *, text: str, id_col: str) -> DataFrame:
+def _array(values, kind: str) -> Column:
+    """An array as one literal, however long."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def _below(cuts: list[int], value: Column) -> Column:
+    """Number of cuts (ascending) below a value, by bisection."""
+    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)] if cuts else []
+    have = _array(cuts, "long")
+    step = lambda n, s: F.when((n + s <= len(cuts)) & (F.get(have, n + s - 1) < value), n + s).otherwise(n)
+    return F.aggregate(_array(steps, "int"), F.lit(0), step) if cuts else F.lit(0)
+
+
+def with_next(docs: DataFrame, carry: list[str], *, text: str, id_col: str, prepare: Callable[[DataFrame], DataFrame] | None = None, range_chars: int = RANGE_CHARS, max_ranges: int = MAX_RANGES) -> DataFrame:
     """docs with, as next_<c>, the columns `carry` of the next row by descending id; the first row follows the last.
 
-    Ids are cut into ranges at their quantiles; the window runs within a range, and the head of the next
-    range joins it as a guest. The driver holds one id per range. Rows of one id are ordered by text.
+    Rows of one id follow each other by a hash of their text, then by text; rows without an id come last.
+    prepare adds columns to rows once they are dealt out, on both rows and their successors.
+
+    Ids are cut into ranges at their quantiles, an id that spans several quantiles by its texts' hashes. A
+    row's range is found by bisection, the window runs within a range, and a copy of the next range's head
+    row joins it as a guest. There are many small ranges a partition, so that partitions come out even. The
+    driver holds a cut, a head id and a place for each range, max_ranges at most; larger tables have larger ranges.
     """
     spark = docs.sparkSession
-    stats = docs.agg(F.sum(F.length(text)).alias("chars"), F.count(F.lit(1)).alias("rows")).first()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((stats["chars"] or 0) // RANGE_CHARS) + 1)
-    cuts = docs.agg(F.percentile_approx(id_col, F.array(*[F.lit(k / parts) for k in range(1, parts)]), 20 * parts).alias("q")).first()["q"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.lit(cuts).cast("array<long>"), lambda c: c < F.col(id_col))) if cuts else F.lit(0)
-    place = F.coalesce(F.when(F.col(id_col).isNull(), -1).otherwise(place), F.lit(-1))
-    placed = docs.withColumn("_range", place)
-    heads = sorted(((r["_range"], r["h"]) for r in placed.groupBy("_range").agg(F.max(id_col).alias("h")).collect()), reverse=True)
+    own = F.col(id_col).cast("long")
+    stats = docs.agg(F.sum(F.length(text)).alias("chars"), F.count(F.lit(1)).alias("rows"), F.count(own).alias("known")).first()
+    chars = stats["chars"] or 0
+    ranges = max(1, min(int(chars // range_chars) + 1, max_ranges, stats["rows"]))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(chars // PART_CHARS) + 1)
+    found = docs.agg(F.percentile_approx(own, _array([k / ranges for k in range(1, ranges)], "double"), 4 * ranges).alias("q")).first()["q"] if ranges > 1 else []
+    spans = Counter(found or [])
+    cuts = sorted(spans)
+    nulls = -(-(stats["rows"] - stats["known"]) * ranges // max(stats["rows"], 1))
+    # ranges are numbered as rows follow each other: cut by cut downwards, and within a cut's id by the texts' hashes
+    place = F.lit(len(cuts)) - _below(cuts, own)
+    number = place.cast("long") * _SUB
+    share = F.xxhash64(text) / F.lit(2.0**64) + 0.5
+    if any(m > 1 for m in spans.values()):
+        many, at = F.get(_array([spans[c] for c in cuts], "int"), len(cuts) - place), F.get(_array(cuts, "long"), len(cuts) - place)
+        number = number + F.when(many > 1, F.when(own == at, F.least(F.floor(share * many), many - 1)).otherwise(many)).otherwise(0)
+    if nulls:
+        number = F.when(own.isNull(), F.lit((len(cuts) + 1) * _SUB) + F.least(F.floor(share * nulls), F.lit(nulls - 1))).otherwise(number)
+    placed = docs.withColumn("_range", number.cast("long"))
+    heads = sorted((r["_range"], r["h"]) for r in placed.groupBy("_range").agg(F.max(own).alias("h")).collect())
+    seats = spark.createDataFrame([(rng, head, heads[k - 1][0]) for k, (rng, head) in enumerate(heads)], "_seat long, _head long, _host long")
     # the head of each range is a guest of the range before it, the very first of the last range
-    guest = F.lit(None).cast("int")
-    for k, (rng, head) in enumerate(heads):
-        host = heads[k - 1][0]
-        guest = F.when((F.col("_range") == rng) & F.col(id_col).eqNullSafe(F.lit(head)), host).otherwise(guest)
-    seats = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("g")), F.struct(guest.alias("r"), F.lit(1).alias("g"))), lambda s: s["r"].isNotNull())
-    seated = placed.withColumn("_seat", F.explode(seats)).withColumn("_r", F.col("_seat.r")).withColumn("_g", F.col("_seat.g"))
-    order = Window.partitionBy("_r").orderBy("_g", F.desc_nulls_last(id_col), text)
+    guests = placed.join(F.broadcast(seats), (F.col("_range") == F.col("_seat")) & own.eqNullSafe(F.col("_head")))  # 24 bytes a range
+    guests = guests.groupBy("_host").agg(F.min(F.struct(F.xxhash64(text).alias("h"), F.col(text).alias("t"))).alias("_first"))
+    guests = guests.select(F.col("_host").alias("_range"), F.col("_first.t").alias(text), F.lit(1).alias("_guest"))
+    dealt = placed.withColumn("_guest", F.lit(0)).unionByName(guests, allowMissingColumns=True).repartition(parts, "_range")
+    dealt = prepare(dealt) if prepare else dealt
+    order = Window.partitionBy("_range").orderBy("_guest", F.desc_nulls_last(id_col), F.xxhash64(text), text)
     for c in carry:
-        seated = seated.withColumn(f"next_{c}", F.lead(c).over(order))
-    return seated.where("_g = 0").drop("_range", "_seat", "_r", "_g")
+        dealt = dealt.withColumn(f"next_{c}", F.lead(c).over(order))
+    return dealt.where("_guest = 0").drop("_range", "_guest")
 
 
 def similar_pairs(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from saldo.llm import registry, spotsigs
 
@@ -46,12 +47,47 @@ def test_signatures_count_spots(spark):
     assert got[5]["fp"] == got[10]["fp"]
 
 
-@pytest.mark.parametrize("ids", [[7], [3, 9], list(range(0, 90, 3)), [5, 5, 5, 1, 9]])
-def test_next_by_descending_id(spark, ids):
-    rows = [(i, f"t{k:03d}") for k, i in enumerate(ids)]
-    got = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), ["text"], text="text", id_col="doc_id")
-    order = sorted(rows, key=lambda r: (-r[0], r[1]))
-    assert sorted((r["doc_id"], r["text"], r["next_text"]) for r in got.collect()) == sorted((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order))
+def follow(spark, rows, **options):
+    """Each row's next row's text, by a plain sort."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = spotsigs.with_next(df, ["text"], text="text", id_col="doc_id", **options)
+    hashes = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r["doc_id"], r["text"], r["next_text"]) for r in got.collect()), key=key) == sorted(((*r, order[(k + 1) % len(order)][1]) for k, r in enumerate(order)), key=key)
+
+
+@pytest.mark.parametrize("ids", [[7], [3, 9], list(range(0, 90, 3)), [5, 5, 5, 1, 9], [None, 4, None, -3, 2**62], [None] * 3])
+@pytest.mark.parametrize("range_chars", [1, 20, 10**6])
+def test_next_by_descending_id(spark, ids, range_chars):
+    follow(spark, [(i, f"t{k:03d}") for k, i in enumerate(ids)], range_chars=range_chars)
+
+
+def test_next_where_one_id_or_null_holds_a_third_of_all_rows(spark):
+    rows = [(i if i % 3 else 50, f"t{i * 7919 % 10007:05d}") for i in range(600)] + [(None, f"n{k}") for k in range(200)]
+    follow(spark, rows, range_chars=40)
+    follow(spark, rows, range_chars=40, max_ranges=11)
+
+
+def test_five_thousand_ranges(spark):
+    rows = [(i, f"text {i}") for i in range(0, 40_000, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = spotsigs.with_next(df, ["text"], text="text", id_col="doc_id", range_chars=40)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN") < 20
+    assert {r["doc_id"]: r["next_text"] for r in got.collect()} == {i: f"text {i - 2 if i else 39_998}" for i, _ in rows}
+
+
+def test_many_shuffle_partitions_and_very_long_texts(spark, tmp_path):
+    long_ = "the quick of the brown fox " * 80_000
+    spark.createDataFrame([(1, long_), (2, "x" * 1_000_000), (3, long_ + "end"), (4, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        got = {r["doc_id"]: r for r in registry.op4_spotsigs(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[3]["edited_sha256"] == hashlib.sha256(((long_ + "end")[: len(long_) + 3 - (len(long_) + 3) // 2] + "x" * 1_000_000).encode()).hexdigest()
 
 
 def test_query_matches_brute_force(spark, tmp_path):

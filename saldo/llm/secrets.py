@@ -17,8 +17,10 @@ import math
 import random
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -316,7 +318,9 @@ def scan_text(text: str | None, field: SecretField) -> tuple[list[tuple[int, int
     """Base spans, and all spans: the base ones and those the field adds outside them; null is empty."""
     text = text or ""
     base = base_spans(text)
-    added = [(a, b, MODEL_KIND) for a, b in field.spans(text) if not any(s <= a and b <= e for s, e, _ in base)]
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, e, _ in base), max))  # the furthest end of the base spans so far
+    added = [(a, b, MODEL_KIND) for a, b in field.spans(text) if not (k := bisect_right(starts, a)) or reach[k - 1] < b]
     order = (*KINDS, MODEL_KIND)
     return base, sorted(base + added, key=lambda s: (s[0], order.index(s[2])))
 
@@ -346,12 +350,21 @@ def scan(docs: DataFrame, field: SecretField, *, text: str = "text") -> DataFram
     return docs.select(*[F.col(f"`{c}`") for c in keep], run(F.col(text)).alias("_found")).select(*[f"`{c}`" for c in keep], parsed("base_spans"), parsed("spans"))
 
 
+def redact_text(text: str, starts: list[int], ends: list[int], mark: str = "[SECRET]") -> str:
+    """The text with every stretch that spans (sorted by start) cover replaced by the mark; overlapping spans share one."""
+    out, at = [], 0
+    for a, b in zip(starts, ends):
+        if b > at:
+            out += [text[at:a], mark] if a >= at else []
+            at = b
+    return "".join([*out, text[at:]])
+
+
 def redact(text: F.Column, spans: F.Column, mark: str = "[SECRET]") -> F.Column:
-    """The text with every stretch that spans cover replaced by the mark; overlapping spans share one."""
-    def step(done, s):
-        a, b = F.greatest(s["start"], done["at"]), s["end"]
-        new = F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (a - done["at"]).cast("int")), F.when(s["start"] >= done["at"], F.lit(mark)).otherwise(F.lit("")))
-        return F.struct(F.greatest(b, done["at"]).alias("at"), F.when(b > done["at"], new).otherwise(done["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda d: F.concat(d["out"], F.substring(text, (d["at"] + 1).cast("int"), F.length(text)))))
+    """redact_text of a text and its spans; a null text stays null."""
+
+    @F.pandas_udf("string")
+    def run(t: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([x if x is None or not len(a) else redact_text(x, a.tolist(), b.tolist(), mark) for x, a, b in zip(t, starts, ends)], dtype=object)
+
+    return run(text, F.transform(spans, lambda s: s["start"]), F.transform(spans, lambda s: s["end"]))

@@ -101,3 +101,18 @@ def test_secrets_without_digits(field):
     assert sum(field.spans(f"client_secret = {k}\n") == [(16, 40)] for k in keys) > 180
     for text in ("The secret of the garden is a token of their love.", "Please reset the password before the next meeting.", "JavaScript and PostgreSQL at OpenStreetMap"):
         assert not field.spans(text)
+
+
+def test_many_spans_in_one_text(field):
+    """Linear in the number of spans."""
+    import time
+
+    text = "token='0123456789abcdef0123' and key ghp_a8Jk2LmQ9xZtR4vB7nC1dE5fG3hK6 end\n" * 4000
+    began = time.perf_counter()
+    base, spans = secrets.scan_text(text, field)
+    assert len(base) >= 4000
+    added = [s for s in spans if s[2] == secrets.MODEL_KIND]
+    assert not any(s <= a and b <= e for a, b, _ in added[:50] for s, e, _ in base)
+    clean = secrets.redact_text(text, [s[0] for s in spans], [s[1] for s in spans])
+    assert clean.count("[SECRET]") >= 4000 and "0123456789abcdef" not in clean
+    assert time.perf_counter() - began < 60

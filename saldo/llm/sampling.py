@@ -45,7 +45,7 @@ SCHEMA = "doc_id long, sample int, ids array<int>, log_prob double, perturbed do
 _word = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Siblings are looked for among nodes whose prefix has a probability above e^-DEEP, given the place the path
 #: starts from. One further on is among the best only with a probability of that order, far below what the
-#: noise's 53 bits can tell.
+#: noise's 53 bits can tell; deep=None looks at all.
 DEEP = 60.0
 _STEP = np.uint64(0x2545F4914F6CDD1D)
 _DEPTH = 0xD1342543DE82EF95
@@ -256,7 +256,7 @@ class Sampler:
             self.nodes, self.arcs = self.nodes + len(more.first) - 1, self.arcs + len(more.to)
         return self.root[numbers], self.store
 
-    def sample(self, keys: list[int], texts: list[str | None], k: int = SAMPLES) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
+    def sample(self, keys: list[int], texts: list[str | None], k: int = SAMPLES, deep: float | None = DEEP) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """(text, sample, ids, log p, perturbed log p, log inclusion) of k segmentations of each text, or of all where there are fewer."""
         # a word is known by what follows its first blank, which every word has
         split = [_words(t) if t else [] for t in texts]
@@ -272,7 +272,7 @@ class Sampler:
         live = np.arange(n)
         done: list[list[tuple]] = [[] for _ in range(n)]
         for r in range(k):
-            path, arcs_at, before, siblings = self._follow(lat, root, word_at, counts, live, start_word, start_node, key, r, k - r)
+            path, arcs_at, before, siblings = self._follow(lat, root, word_at, counts, live, start_word, start_node, key, r, k - r, np.inf if deep is None else deep)
             opened = siblings(value[live], start_phi[live])
             for q, i in enumerate(live.tolist()):
                 a, b = arcs_at[q], arcs_at[q + 1]
@@ -298,7 +298,7 @@ class Sampler:
                 inclusion = 0.0 if np.isinf(kappa) else float(np.log(-np.expm1(-np.exp(min(x, 30.0)))) if x > -30 else x)
                 yield i, s, self._ids(lat.piece[arcs]), float(phi), float(g), inclusion
 
-    def _follow(self, lat, root, word_at, counts, live, start_word, start_node, key, r, m):
+    def _follow(self, lat, root, word_at, counts, live, start_word, start_node, key, r, m, deep):
         """Most likely perturbed arcs from each live text's place to its end, all words in step, and the m best siblings.
 
         Returns the arcs of all texts, where each text's begin, the running log-probability before each arc
@@ -358,7 +358,7 @@ class Sampler:
 
         def siblings(value: np.ndarray, phi: np.ndarray) -> dict[int, list[tuple]]:
             """By text: (value, arc number, arc, log p, word) of its best open siblings, given the path's value and the place's log p."""
-            seen = np.flatnonzero(before >= -DEEP)
+            seen = np.flatnonzero(before >= -deep)
             if not len(seen):
                 return {}
             whose = np.repeat(np.arange(total), length)[seen]
@@ -406,7 +406,7 @@ def _sampler(path: str, alpha: float) -> Sampler:
     return _samplers.get((path, alpha)) or _samplers.setdefault((path, alpha), Sampler(path, alpha))
 
 
-def sample_encode(docs: DataFrame, model: str, *, k: int = SAMPLES, alpha: float = ALPHA, text: str = "text", id_col: str = "doc_id", emit: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None, schema: str = SCHEMA) -> DataFrame:
+def sample_encode(docs: DataFrame, model: str, *, k: int = SAMPLES, alpha: float = ALPHA, text: str = "text", id_col: str = "doc_id", deep: float | None = DEEP, emit: Callable[[pd.DataFrame, str], pd.DataFrame] | None = None, schema: str = SCHEMA) -> DataFrame:
     """Up to k distinct sampled segmentations (SCHEMA) of every whole text, the largest perturbed value first.
 
     model: path of a SentencePiece file, present on every executor. A null or empty text has one, empty
@@ -422,7 +422,7 @@ def sample_encode(docs: DataFrame, model: str, *, k: int = SAMPLES, alpha: float
             size = np.cumsum([len(t or "") for t in texts])
             for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(size // BATCH_CHARS)) + 1):
                 if len(part):
-                    got = sampler.sample([ids[p] if ids[p] is not None and ids[p] == ids[p] else -1 for p in part], [texts[p] for p in part], k)
+                    got = sampler.sample([ids[p] if ids[p] is not None and ids[p] == ids[p] else -1 for p in part], [texts[p] for p in part], k, deep)
                     out = pd.DataFrame([(ids[part[0] + i], s, pieces, lp, g, inc) for i, s, pieces, lp, g, inc in got], columns=_names)
                     yield emit(out, model) if emit else out
 

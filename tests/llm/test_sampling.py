@@ -114,3 +114,13 @@ def test_query(spark):
     for r in rows:
         assert r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode())
     assert len({(r["doc_id"], r["ids_crc32"]) for r in rows}) == len(rows)
+
+
+def test_looking_at_all_prefixes_changes_nothing_and_shallow_ones_do():
+    vocab_path = registry.tokenizer_path("piece_bpe_32k.model")
+    texts = ["the quick brown fox jumps over the lazy dog " * 12, "Ein sehr langes Wort: Donaudampfschifffahrt", "a", ""]
+    made = {}
+    for deep in (sampling.DEEP, None, 0.0):
+        got = sampling.Sampler(vocab_path).sample(list(range(len(texts))), texts, 3, deep)
+        made[deep] = [(i, s, ids.tolist(), lp, g, inc) for i, s, ids, lp, g, inc in got]
+    assert made[sampling.DEEP] == made[None] and made[0.0] != made[None]

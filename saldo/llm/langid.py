@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from saldo.llm.common import slices
+
 #: Hash buckets, a power of two.
 BUCKETS = 4096
 DIM = 16
@@ -25,6 +27,8 @@ TRAIN_ROWS = 4000
 #: Share of correctly labelled calibration texts that rejection may cost.
 FALSE_REJECT = 0.001
 UNDETERMINED = "und"
+#: Characters whose n-grams a worker holds at once.
+SLICE_CHARS = 1_000_000
 
 _letter: np.ndarray | None = None
 
@@ -37,8 +41,25 @@ def _is_letter() -> np.ndarray:
 
 
 def subword_counts(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[np.ndarray]:
-    """Hashed n-gram counts of each whole text, lower-cased; all zero for a text without a letter."""
+    """Hashed n-gram counts of each whole text, lower-cased; all zero for a text without a letter.
+
+    Works on about SLICE_CHARS characters at once; a longer text is cut at blanks, as no n-gram holds one inside.
+    """
     lowered = [(t or "").lower() for t in texts]
+    for a, b in slices([len(t) for t in lowered], SLICE_CHARS):
+        if len(lowered[a]) <= SLICE_CHARS:
+            yield from _counts(lowered[a:b], buckets)
+            continue
+        total, at, text = np.zeros(buckets, np.int64), 0, lowered[a]
+        while at < len(text):
+            end = text.find(" ", at + SLICE_CHARS)
+            end = len(text) if end < 0 else end
+            total += next(_counts([text[at:end]], buckets))
+            at = end
+        yield total
+
+
+def _counts(lowered: list[str], buckets: int) -> Iterator[np.ndarray]:
     codes = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     codes[~_is_letter()[codes]] = 0x20
     gap = codes == 0x20
@@ -94,6 +115,19 @@ class LanguageModel:
         return labels, scores, rejected
 
 
+def loss_and_gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Mean cross-entropy of rows x (n-gram shares) and labels y, and its gradients by embeddings, softmax weights and bias."""
+    mean = x @ emb
+    z = mean @ out + bias
+    z = np.exp(z - z.max(1, keepdims=True))
+    p = z / z.sum(1, keepdims=True)
+    at = np.arange(len(y))
+    loss = float(-np.log(np.maximum(p[at, y], 1e-30)).mean())
+    p[at, y] -= 1
+    p /= len(y)
+    return loss, x.T @ (p @ out.T), mean.T @ p, p.sum(0)
+
+
 def train(counts: np.ndarray, names: list[str], *, dim: int = DIM, epochs: int = 30, rate: float = 8.0, seed: int = 7) -> LanguageModel:
     """Fit on rows of n-gram counts. One row in five is held back for temperature and rejection."""
     labels = sorted(set(names))
@@ -113,16 +147,10 @@ def train(counts: np.ndarray, names: list[str], *, dim: int = DIM, epochs: int =
         fit = rng.permutation(fit)
         for at in range(0, len(fit), 32):
             rows = fit[at : at + 32]
-            mean = x[rows] @ emb
-            z = mean @ out + bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            grad = z / z.sum(1, keepdims=True)
-            grad[np.arange(len(rows)), y[rows]] -= 1
-            grad /= len(rows)
-            back = grad @ out.T
-            out -= step * mean.T @ grad
-            bias -= 0.1 * step * grad.sum(0)
-            emb -= step * x[rows].T @ back
+            _, d_emb, d_out, d_bias = loss_and_gradients(emb, out, bias, x[rows], y[rows])
+            out -= step * d_out
+            bias -= 0.1 * step * d_bias
+            emb -= step * d_emb
     model = LanguageModel(labels, (emb @ out).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
     if len(held):
         losses = []
@@ -142,6 +170,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
     """Train on rows of docs with a language: all of them, or where there are more than `rows`, a hash sample of about that size.
 
     Executors reduce sampled texts to n-gram counts, so the driver holds at most about `rows` sparse vectors.
+    Of sampled rows that share an id one counts (the smallest language, then text); rows without an id count as one.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     total = known.select(lang).count()
@@ -154,7 +183,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", id_col: str
             if kept:
                 yield pd.DataFrame({"i": [k[0] for k in kept], "n": [k[1] for k in kept], "at": [k[2].astype(np.int32) for k in kept], "c": [k[3][k[2]].astype(np.int32) for k in kept]})
 
-    got = picked.select(F.xxhash64(id_col).alias("i"), F.col(lang).alias("n"), F.col(text).alias("t")).mapInPandas(reduce, "i long, n string, at array<int>, c array<int>").toPandas()
+    once = picked.groupBy(F.xxhash64(id_col).alias("i")).agg(F.min(F.struct(F.col(lang).alias("n"), F.col(text).alias("t"))).alias("r")).select("i", "r.n", "r.t")
+    got = once.mapInPandas(reduce, "i long, n string, at array<int>, c array<int>").toPandas()
     got = got.sort_values(["i", "n"], kind="stable")
     counts = np.zeros((len(got), buckets), np.float32)
     for k, (at, c) in enumerate(zip(got["at"], got["c"])):

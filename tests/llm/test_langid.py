@@ -53,3 +53,34 @@ def test_empty_training_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(docs)
     assert model.labels == [] and model.predict(["abc"]) == (["und"], [0.0], [True])
+
+
+def test_gradients_by_finite_differences():
+    rng = np.random.default_rng(2)
+    x, y = rng.random((6, 9)), np.array([0, 1, 2, 1, 0, 2])
+    emb, out, bias = rng.normal(size=(9, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    loss, *grads = langid.loss_and_gradients(emb, out, bias, x, y)
+    z = x @ emb @ out + bias
+    assert np.isclose(loss, np.mean([np.log(np.exp(r).sum()) - r[k] for r, k in zip(z, y)]))
+    step = 1e-6
+    for n, (part, grad) in enumerate(zip((emb, out, bias), grads)):
+        for at in np.ndindex(part.shape):
+            moved = []
+            for sign in (1, -1):
+                parts = [emb.copy(), out.copy(), bias.copy()]
+                parts[n][at] += sign * step
+                moved.append(langid.loss_and_gradients(*parts, x, y)[0])
+            assert np.isclose((moved[0] - moved[1]) / (2 * step), grad[at], atol=1e-6)
+
+
+def test_very_long_texts_in_slices(monkeypatch):
+    texts = ["the cat and the dog " * 300, "", "x" * 500, "Été à l'an " * 200, "12 34"]
+    whole = [c.copy() for c in langid.subword_counts(texts)]
+    for n in (1, 7, 100, 1000):
+        monkeypatch.setattr(langid, "SLICE_CHARS", n)
+        assert all((a == b).all() for a, b in zip(whole, langid.subword_counts(texts), strict=True))
+
+
+def test_one_id_many_times(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en")] * 500 + [(k, "der Hund und die Katze", "de") for k in range(2, 40)] + [(None, "the", "en")] * 50, "doc_id long, text string, lang string")
+    assert langid.fit(docs).labels == ["de", "en"]

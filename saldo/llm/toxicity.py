@@ -4,7 +4,8 @@ Features are the distinct lower-cased words of a whole text and their prefixes.
 accelerated proximal gradient descent on three terms: the logistic loss of the labels, a penalty on the
 squared change of a text's score when its identity terms are swapped for others of the same kind, and
 an L1 term that leaves few weights other than zero. The swap penalty takes weight off the identity terms
-themselves, so neutral mentions of a group don't raise a score.
+themselves, so neutral mentions of a group don't raise a score. A labelled text that mentions no group is given
+a neutral mention, one term drawn by the text's hash whatever its label, and is swapped and penalised like any.
 """
 
 from __future__ import annotations
@@ -62,6 +63,15 @@ def swapped(words: set[str], by: int = 1) -> set[str] | None:
     return new if hit else None
 
 
+def with_mention(words: set[str], draw: int) -> set[str]:
+    """The features with a neutral mention of one identity term, unless they have one."""
+    if any(t in words for kind in IDENTITY_TERMS for t in kind):
+        return words
+    terms = [t for kind in IDENTITY_TERMS for t in kind]
+    t = terms[draw % len(terms)]
+    return words | {t} | {t[:n] + "*" for n in PREFIXES if len(t) > n}
+
+
 @dataclass
 class ToxicityModel:
     bias: float = -3.0
@@ -87,6 +97,7 @@ def train(packed: list[str], labels: list[int], *, swap_penalty: float = 1.0, l1
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(float(np.log(share / (1 - share))) if len(y) else -3.0)
+    packed = ["\n".join(sorted(with_mention(set(s.split("\n")), zlib.crc32(s.encode("utf-8", "surrogatepass"))))) for s in packed]
     code = lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")) & 0x3FFFFF
     often = np.zeros(1 << 22, np.int32)
     for s in packed:
@@ -94,12 +105,9 @@ def train(packed: list[str], labels: list[int], *, swap_penalty: float = 1.0, l1
     index: dict[str, int] = {}
     cols = [np.array([index.setdefault(w, len(index)) for w in s.split("\n") if w and often[code(w)] >= MIN_DOCS], np.int32) for s in packed]
     del often
-    terms = {t for kind in IDENTITY_TERMS for t in kind}
     pairs: list[tuple[int, list[int], list[int]]] = []
     for k, s in enumerate(packed):
         words = set(s.split("\n"))
-        if not words & terms:
-            continue
         for by in (1, 2):
             other = swapped(words, by) or words
             pairs.append((k, [index[w] for w in other - words if w in index], [index[w] for w in words - other if w in index]))
@@ -107,49 +115,76 @@ def train(packed: list[str], labels: list[int], *, swap_penalty: float = 1.0, l1
     held, fit_on = part[: len(y) // 5], part[len(y) // 5 :]
     scale, shift = 1.0, 0.0
     if len(held) and len(set(y[held])) == 2 and len(set(y[fit_on])) == 2:
-        w, b = _descend(cols, y, fit_on, pairs, len(index), swap_penalty, l1, rounds)
+        w, b = Objective(cols, y, fit_on, pairs, len(index), swap_penalty).descend(l1, rounds)
         scale, shift = _platt(np.array([w[cols[k]].sum() + b for k in held]), y[held])
-    w, b = _descend(cols, y, np.arange(len(y)), pairs, len(index), swap_penalty, l1, rounds)
+    w, b = Objective(cols, y, np.arange(len(y)), pairs, len(index), swap_penalty).descend(l1, rounds)
     return ToxicityModel(float(scale * b + shift), {name: float(scale * w[k]) for name, k in index.items() if w[k]})
 
 
-def _descend(cols: list[np.ndarray], y: np.ndarray, use: np.ndarray, pairs: list, m: int, swap_penalty: float, l1: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated proximal gradient descent over the texts in `use`."""
-    n, pos = len(use), y[use].mean()
-    rows = np.repeat(np.arange(n), [len(cols[k]) for k in use])
-    at = np.concatenate([cols[k] for k in use])
-    y = y[use]
-    weight = np.where(y == 1, 0.5 / pos, 0.5 / (1 - pos)) ** 0.5  # half-way towards balance
-    weight /= weight.mean()
-    inside = set(use.tolist())
-    pairs = [q for q in pairs if q[0] in inside]
-    p = len(pairs)
-    more, less = (([np.repeat(np.arange(p), [len(q[i]) for q in pairs]), np.array([k for q in pairs for k in q[i]], np.int64)]) for i in (1, 2))
-    bound = weight.max() * (_norm(rows, at, n, m) + n) / (4 * n)
-    if p:
-        bound += 4 * swap_penalty / p * (_norm(*more, p, m) + _norm(*less, p, m))
-    step = 1 / bound
-    w, b = np.zeros(m), float(np.log(pos / (1 - pos)))
-    v, c, t = w.copy(), b, 1.0
-    for _ in range(rounds):
-        z = np.bincount(rows, v[at], n) + c
-        r = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-        grad = np.bincount(at, r[rows], m)
-        if p:
-            d = np.bincount(more[0], v[more[1]], p) - np.bincount(less[0], v[less[1]], p)
-            d *= 2 * swap_penalty / p
-            grad += np.bincount(more[1], d[more[0]], m) - np.bincount(less[1], d[less[0]], m)
-        new = v - step * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
-        b_new = c - step * r.sum()
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
-        w, b, t = new, b_new, t_new
-    return w, b
+class Objective:
+    """Mean weighted logistic loss of the texts in `use`, and swap_penalty times the mean squared change of their pairs' scores."""
+
+    def __init__(self, cols: list[np.ndarray], y: np.ndarray, use: np.ndarray, pairs: list, m: int, swap_penalty: float):
+        self.n, self.m, self.swap_penalty = len(use), m, swap_penalty
+        self.pos = float(y[use].mean())
+        self.rows = np.repeat(np.arange(self.n), [len(cols[k]) for k in use])
+        self.at = np.concatenate([cols[k] for k in use])
+        self.y = y[use]
+        weight = np.where(self.y == 1, 0.5 / self.pos, 0.5 / (1 - self.pos)) ** 0.5  # half-way towards balance
+        self.weight = weight / weight.mean()
+        inside = set(use.tolist())
+        pairs = [q for q in pairs if q[0] in inside]
+        pairs = [q for q in pairs if q[1] or q[2]]  # others change no score
+        self.p = len(pairs)
+        self.more, self.less = (
+            (np.repeat(np.arange(self.p), [len(q[i]) for q in pairs]), np.array([k for q in pairs for k in q[i]], np.int64)) for i in (1, 2)
+        )
+
+    def value_and_gradient(self, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+        """Value, gradient by weights and by bias; without the L1 term."""
+        z = np.bincount(self.rows, w[self.at], self.n) + b
+        value = float((self.weight * (np.logaddexp(0, z) - self.y * z)).sum() / self.n)
+        r = self.weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - self.y) / self.n
+        grad = np.bincount(self.at, r[self.rows], self.m)
+        if self.p:
+            d = np.bincount(self.more[0], w[self.more[1]], self.p).astype(float) - np.bincount(self.less[0], w[self.less[1]], self.p)
+            value += self.swap_penalty / self.p * float((d * d).sum())
+            d *= 2 * self.swap_penalty / self.p
+            grad += np.bincount(self.more[1], d[self.more[0]], self.m) - np.bincount(self.less[1], d[self.less[0]], self.m)
+        return value, grad, float(r.sum())
+
+    def descend(self, l1: float, rounds: int) -> tuple[np.ndarray, float]:
+        """Weights and bias by accelerated proximal gradient descent."""
+        bound = self.weight.max() * (_norm(self.rows, self.at, self.n, self.m) + self.n) / (4 * self.n)
+        if self.p:
+            bound += 4 * self.swap_penalty / self.p * (_norm(*self.more, self.p, self.m) + _norm(*self.less, self.p, self.m))
+        step = 1 / bound
+        w, b = np.zeros(self.m), float(np.log(self.pos / (1 - self.pos)))
+        v, c, t = w.copy(), b, 1.0
+        for _ in range(rounds):
+            _, grad, d_bias = self.value_and_gradient(v, c)
+            new = v - step * grad
+            new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
+            b_new = c - step * d_bias
+            t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            v, c = new + (t - 1) / t_new * (new - w), b_new + (t - 1) / t_new * (b_new - b)
+            w, b, t = new, b_new, t_new
+        return w, b
+
+
+def swap_changes(model: ToxicityModel, texts: list[str]) -> list[float]:
+    """Change of score of each text, given a neutral mention where it has none, when its identity terms are swapped."""
+    out = []
+    for text in texts:
+        words = {f for f in with_mention(features(text), zlib.crc32(text.encode("utf-8", "surrogatepass"))) if f in model.weights}
+        other = {f for f in swapped(with_mention(features(text), zlib.crc32(text.encode("utf-8", "surrogatepass")))) if f in model.weights}
+        a, b = (1 / (1 + np.exp(-np.clip(model.bias + sum(model.weights[f] for f in some), -40, 40))) for some in (words, other))
+        out.append(float(abs(a - b)))
+    return out
 
 
 def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Scale and shift of a score by logistic regression with smoothed labels; the scale stays within 1 to 6."""
+    """Scale and shift of a score by logistic regression with smoothed labels, by damped Newton steps."""
     goal = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
@@ -158,12 +193,13 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
         hess = np.array([[(h * z * z).sum() + 1e-3, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-3]])
         move = np.linalg.solve(hess, [(d * z).sum(), d.sum()])
         a, b = a - np.clip(move[0], -0.5, 0.5), b - np.clip(move[1], -0.5, 0.5)
-    a = float(np.clip(a, 1, 6))
-    return a, float(b)
+    return float(a), float(b)
 
 
 def _norm(rows: np.ndarray, cols: np.ndarray, n: int, m: int) -> float:
     """Largest eigenvalue of the Gram matrix of a 0/1 sparse matrix, by power iteration with a margin."""
+    if not len(rows):
+        return 1e-9
     x = np.ones(m)
     top = 0.0
     for _ in range(15):
@@ -177,7 +213,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
     """Train on labelled documents: all of them, or where there are more than `rows`, a hash sample of about that size.
 
     labels: (id, label 0/1), sampled before the join so that the broadcast side is bounded by `rows`.
-    Rows with a null label or text are left out; of repeated labels the larger counts.
+    Rows with a null label or text are left out; of repeated labels the larger counts, of documents that share
+    an id the smallest text.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label).cast("int")).alias("y"))
     total = known.count()
@@ -189,6 +226,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", id_col: str =
             yield pd.DataFrame({"i": pdf["i"], "y": pdf["y"], "f": ["\n".join(sorted(features(t))) for t in pdf["t"]]})
 
     joined = docs.where(F.col(text).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(picked), "i")
+    joined = joined.groupBy("i").agg(F.max("y").alias("y"), F.min("t").alias("t"))
     got = joined.mapInPandas(reduce, "i long, y int, f string").toPandas().sort_values("i", kind="stable")
     return train(list(got["f"]), [int(y) for y in got["y"]])
 

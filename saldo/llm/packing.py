@@ -1,7 +1,7 @@
 """Lexical retrieval packing.
 
 Documents are tokenised and packed into windows of WINDOW tokens so that a window holds lexically close
-documents. They are first brought together from all input partitions in order of a sketch, the SKETCH
+documents. They are first brought together from all input partitions in order of a sketch, the three
 smallest hashes of their words, and then read in shards of about SHARD_CHARS characters; each shard has its
 own BM25 inverted index. A seed document opens a window; the index returns its best unused neighbours by all
 of its terms, which fill the window in order of score. A document that overflows is cut there, and its rest
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 SHARD_CHARS = 4_000_000
-SKETCH = 3
+#: Rows a partition that the bounds of ranges are taken from.
+SAMPLE = 100
 NEIGHBOURS = 8
 #: Terms past which a seed counts as long in the tests; retrieval uses all terms.
 QUERY_TERMS = 12
@@ -226,12 +227,31 @@ def order_and_cut(sizes: np.ndarray, index: Bm25, window: int = WINDOW) -> list[
 
 
 def by_sketch(docs: DataFrame) -> DataFrame:
-    """docs (i, t) in ranges of the smallest hashes of their texts' words, whichever partitions they come from."""
-    least = F.array_sort(F.array_distinct(F.transform(F.split(F.lower("t"), r"\s+"), lambda w: F.xxhash64(w))))
-    keys = [f"k{k}" for k in range(SKETCH)] + ["n"]
-    rows = docs.select("i", "t", F.slice(least, 1, SKETCH).alias("s"), F.monotonically_increasing_id().alias("n"))
-    rows = rows.select("i", "t", *[F.get("s", F.lit(k)).alias(f"k{k}") for k in range(SKETCH)], "n")
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("i", "t")
+    """docs (i, t) in ranges of the smallest hashes of their texts' words, whichever partitions they come from.
+
+    A row's key is the smallest hash's upper half, 16 bits of the next two, and 16 bits of its row number, so
+    that texts with equal hashes can still be dealt to several partitions. The ranges' bounds are quantiles of
+    a sample of rows (SAMPLE a partition); all rows are dealt.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = F.transform(F.split(F.translate(F.lower("t"), "\n\r\t", "   "), " "), lambda w: F.xxhash64(w))
+    rows = docs.select("i", "t", F.monotonically_increasing_id().alias("n"))
+
+    def keyed(some: DataFrame) -> DataFrame:
+        some = some.withColumn("h", hashes).withColumn("k0", F.array_min("h"))
+        some = some.withColumn("k1", F.array_min(F.filter("h", lambda x: x > F.col("k0"))))
+        some = some.withColumn("k2", F.array_min(F.filter("h", lambda x: x > F.col("k1"))))
+        key = F.col("k0").bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(F.shiftleft(F.xxhash64("k1", "k2").bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(F.xxhash64("n").bitwiseAND(F.lit(0xFFFF)))
+        return some.select("i", "t", F.coalesce(key, F.xxhash64("n")).alias("key"))
+
+    total = rows.count()
+    share = min(1.0, SAMPLE * n / max(total, 1))
+    cuts = keyed(rows.sample(share, 3)).agg(F.percentile_approx("key", F.array(*[F.lit(k / n) for k in range(1, n)]), 20 * n)).first()[0] if n > 1 and total else None
+    steps = F.array(*[F.lit(1 << k) for k in range(n.bit_length(), -1, -1)])
+    have = F.split(F.lit(",".join(map(str, cuts or []))), ",").cast("array<long>")
+    step = lambda p, s: F.when((p + s < n) & (F.get(have, p + s - 1) < F.col("key")), p + s).otherwise(p)
+    place = F.aggregate(steps, F.lit(0), step) if cuts else F.lit(0)
+    return keyed(rows).withColumn("place", place).repartitionById(n, "place").sortWithinPartitions("key").select("i", "t")
 
 
 _loaded: dict[str, CachedTokenizer] = {}

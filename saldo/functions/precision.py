@@ -54,3 +54,35 @@ def negative_census(cells: DataFrame, by: list[str], value: str = "value") -> Da
     return cells.groupBy(*by).agg(
         F.sum(neg.cast("long")).alias("negatives"), F.avg(neg.cast("double")).alias("share"), F.least(F.min(value), F.lit(0.0)).alias("smallest"), F.sum(F.when(neg, F.col(value)).otherwise(0.0)).alias("mass"),
     )
+
+
+#: Slack over what inconsistent margins force, a fixed value; and the flat tolerances of a solver.
+FLOOR_SLACK = 10.0
+FLAT, RELATIVE = 1e-6, 1e-9
+
+
+def mixed_floor(values: DataFrame, terms: DataFrame, value: str = "value") -> DataFrame:
+    """Tolerance of an identity over populations that are not printed alike: the sum of their own floors.
+
+    values: (population, value); terms: (population, terms). One row: populations, tolerance.
+    """
+    sizes = values.groupBy("population").agg(F.sum(F.abs(value)).alias("mass"))
+    own = printed_decimals(values, ["population"], value).join(sizes, "population").join(terms, "population")
+    floor = tolerance(F.col("decimals"), F.col("terms").cast("double"), F.col("mass"))
+    return own.agg(F.count(F.lit(1)).alias("populations"), F.sum(floor).alias("tolerance"))
+
+
+def margin_floors(rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """What a solver can be held to for row targets (i, value) and column targets (j, value). One row.
+
+    gap is the difference of their sums, which no table can meet; floor the larger of |gap| / (m + n) and the
+    targets' own rounding; tolerance is flat unless |gap| / (m + n) exceeds that, then FLOOR_SLACK floors.
+    """
+    both = rows.select(F.lit(1).alias("s"), "value").unionByName(cols.select(F.lit(-1).alias("s"), "value"))
+    side = lambda s: F.sum(F.when(F.col("s") == s, 1).otherwise(0))
+    size = both.agg(F.sum(F.col("s") * F.col("value")).alias("gap"), side(1).alias("m"), side(-1).alias("n"), F.sum(F.abs("value")).alias("mass"), F.max(F.abs("value")).alias("top"))
+    one = size.join(printed_decimals(both, []), how="left")  # one row each
+    forced = F.abs("gap") / (F.col("m") + F.col("n"))
+    flat = FLAT + RELATIVE * F.col("top")
+    floor = F.greatest(forced, tolerance(F.col("decimals"), F.greatest("m", "n").cast("double"), F.col("mass")))
+    return one.select("gap", floor.alias("floor"), F.when(forced <= flat, flat).otherwise(F.greatest(flat, FLOOR_SLACK * floor)).alias("tolerance"))

@@ -98,3 +98,56 @@ def structural_zero(cells: DataFrame, name: str) -> DataFrame:
 def report(checks: DataFrame) -> DataFrame:
     """Rows, failures and largest gap by check, and whether it holds."""
     return checks.groupBy("name").agg(F.count(F.lit(1)).alias("rows"), F.sum((~F.col("passed")).cast("long")).alias("failed"), F.max(F.abs("gap")).alias("worst"), F.bool_and("passed").alias("passed"))
+
+
+def margins_attained(cells: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
+    """Whether a balanced table has the totals asked for, as closely as they permit: one row a side. Not an accounting identity.
+
+    cells: (i, j, value); rows: (i, value); cols: (j, value).
+    """
+    from saldo.functions.precision import margin_floors
+
+    def side(at: str, goal: DataFrame) -> DataFrame:
+        made = aligned(sums(cells, at, "made"), sums(goal, at, "goal"))
+        return made.select(F.lit(f"SOLVER {'rows' if at == 'i' else 'columns'}").alias("name"), F.abs(zero("made") - zero("goal")).alias("off"))
+
+    off = side("i", rows).unionByName(side("j", cols)).join(margin_floors(rows, cols))  # one row of floors
+    return off.groupBy("name", "gap", "floor", "tolerance").agg(
+        F.max("off").alias("worst"), F.sum((F.col("off") > F.col("tolerance")).cast("long")).alias("failed"), F.bool_and(F.col("off") <= F.col("tolerance")).alias("passed")
+    )
+
+
+def cif_fob_totals(cif: DataFrame, fob: DataFrame) -> DataFrame:
+    """ID-10, second part: imports add up to the same at cif and at fob prices. Frames: (value)."""
+    one = cif.agg(F.sum("value").alias("c")).join(fob.agg(F.sum("value").alias("f")))  # one row each
+    return check(one, "ID-10 totals", F.lit("total"), zero("c"), zero("f"))
+
+
+def value_added_preserved(before: DataFrame, after: DataFrame, by_industry: bool) -> DataFrame:
+    """ID-13: a transformation by industries leaves the value-added block as it was, one by products its total. Frames: (r, j, value)."""
+    if by_industry:
+        both = before.select("r", "j", F.col("value").alias("b")).join(after.select("r", "j", F.col("value").alias("a")), ["r", "j"], "full")
+        return check(both, "ID-13 cells", F.concat_ws(":", F.col("r").cast("string"), F.col("j").cast("string")), zero("b"), zero("a"))
+    one = before.agg(F.sum("value").alias("b")).join(after.agg(F.sum("value").alias("a")))  # one row each
+    return check(one, "ID-13 total", F.lit("total"), zero("b"), zero("a"))
+
+
+def valuation_matrix(column: DataFrame, matrix: DataFrame) -> DataFrame:
+    """ID-15: a product's margins or taxes in the supply table are the total of its valuation matrix over users.
+
+    column: (p, value); matrix: (p, c, value). The tolerance follows the matrix row's gross size, as rows may cancel.
+    """
+    made = matrix.groupBy(F.col("p").alias("k")).agg(F.sum("value").alias("m"), F.sum(F.abs("value")).alias("mass"))
+    df = sums(column, "p", "c").join(made, "k", "full")
+    gap = zero("c") - zero("m")
+    return df.select(F.lit("ID-15").alias("name"), F.col("k").cast("string").alias("key"), gap.alias("gap"), (F.abs(gap) <= 1e-6 + 1e-9 * zero("mass")).alias("passed"))
+
+
+def income_approach(production: DataFrame, surplus: DataFrame, wages: DataFrame, taxes: DataFrame, subsidies: DataFrame | None = None) -> DataFrame:
+    """ID-17: surplus, wages and other taxes less other subsidies on production make gross value added. Frames: (a, value).
+
+    Where surplus was itself the balancing item the identity holds by construction and tests nothing.
+    """
+    parts = [sums(production, "a", "gva"), sums(surplus, "a", "s"), sums(wages, "a", "w"), sums(taxes, "a", "t")]
+    df = aligned(*parts, *([sums(subsidies, "a", "b")] if subsidies is not None else []))
+    return check(df, "ID-17", "k", zero("s") + zero("w") + zero("t") - (zero("b") if subsidies is not None else F.lit(0.0)), zero("gva"))

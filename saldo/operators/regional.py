@@ -57,3 +57,19 @@ def regional_table(regional: DataFrame, output: DataFrame) -> tuple[DataFrame, D
     cols = z.groupBy("region", F.col("j").alias("i")).agg(F.sum("value").alias("bought"))
     out = output.join(rows, ["region", "i"], "left").join(cols, ["region", "i"], "left")
     return z, out.select("region", "i", (F.col("value") - F.coalesce("sold", F.lit(0.0))).alias("final"), (F.col("value") - F.coalesce("bought", F.lit(0.0))).alias("added"))
+
+
+def employment(cells: DataFrame, recode: DataFrame, redrawn: list[str] | None = None, total: str = "TOTAL", tolerance: float = 0.5) -> DataFrame:
+    """Employed persons by region and the table's codes, beside what the source states as the region's total.
+
+    cells: (region, code, value), code `total` being the stated sum; recode: (code, to). Regions that were redrawn
+    are refused (value null). Rows (region, code, value, stated, adds_up); each published figure may be off by
+    `tolerance`. Codes without a place in the table are left out and so keep a region from adding up.
+    """
+    bad = F.col("region").isin(redrawn or []) if redrawn else F.lit(False)
+    parts = cells.where(F.col("code") != total).join(recode, "code").groupBy("region", F.col("to").alias("code")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    sums = parts.groupBy("region").agg(F.sum("value").alias("made"), F.sum("n").alias("terms"))
+    stated = cells.where(F.col("code") == total).groupBy("region").agg(F.sum("value").alias("stated"))
+    out = parts.join(sums, "region").join(stated, "region", "left")
+    adds = F.coalesce(F.abs(F.col("made") - F.col("stated")) <= tolerance * (F.col("terms") + 1), F.lit(False)) & ~bad
+    return out.select("region", "code", F.when(~bad, F.col("value")).alias("value"), "stated", adds.alias("adds_up"))

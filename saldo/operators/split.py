@@ -112,3 +112,61 @@ def corroborate(used: DataFrame, other: DataFrame) -> DataFrame:
     """Relative gap of each code's weight between two keys of the same codes: (implied - measured) / measured."""
     both = used.select("code", F.col("weight").alias("implied")).join(other.select("code", F.col("weight").alias("measured")), "code")
     return both.select("code", ((F.col("implied") - F.col("measured")) / F.col("measured")).alias("gap"))
+
+
+def profile_shift(z: DataFrame, parent: int, w_col: DataFrame, profiles: DataFrame) -> DataFrame:
+    """How far a profile moves each part's purchases from the level its weight gives, against the parent's own block.
+
+    Rows (part, shift, share_of_inner, neutral); suppliers other than the parent itself count. share_of_inner is
+    null where the parent buys nothing from itself.
+    """
+    outer = z.where((F.col("j") == parent) & (F.col("i") != parent))
+    bought = profile_shares(outer, parent, w_col, profiles).join(outer.select(*KEY, "i", "value"), [*KEY, "i"])
+    got = bought.groupBy(*KEY, "part").agg(F.sum(F.col("share") * F.col("value")).alias("got"))
+    all_ = outer.groupBy(*KEY).agg(F.sum("value").alias("all")).join(z.where((F.col("j") == parent) & (F.col("i") == parent)).select(*KEY, F.abs("value").alias("inner")), KEY, "left")
+    both = got.join(all_, KEY).join(w_col.select("part", "weight"), "part")
+    shift = F.col("got") - F.col("weight") * F.col("all")
+    return both.select(*KEY, "part", shift.alias("shift"), F.when(F.col("inner") > 1e-12, F.abs(shift) / F.col("inner")).alias("share_of_inner"), (F.abs(shift) <= 1e-6 * F.greatest(F.abs("all"), F.lit(1.0))).alias("neutral"))
+
+
+def neutral_profile(z: DataFrame, parent: int, w_col: DataFrame, profiles: DataFrame, max_iter: int = 2000, tol: float = 1e-12) -> DataFrame:
+    """Profiles (i, part, m) scaled, part by part, so that no part's purchases leave the level of its weight.
+
+    A part's named intensities keep their ratios; suppliers it doesn't name stay at 1. One part's scales are a
+    fixed point of square-root steps over the parent's column, which one task holds. Refuses what doesn't settle.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from saldo.functions.kernels import NotConverged
+
+    column = z.where((F.col("j") == parent) & (F.col("i") != parent)).select(*KEY, "i", F.col("value").alias("v"))
+    rows = column.join(w_col.select("part", "weight")).join(profiles, ["i", "part"], "left")  # suppliers times parts
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = lambda c: pdf.pivot_table(index="i", columns="part", values=c, aggfunc="first", dropna=False)
+        m = grid("m")
+        named, m0 = m.notna().to_numpy(), m.fillna(1.0).to_numpy(float)
+        v, w = pdf.groupby("i")["v"].first().to_numpy(float), pdf.groupby("part")["weight"].first().to_numpy(float)
+        goal, scale, moves = w * v.sum(), np.ones(len(w)), named.any(0)
+        for _ in range(max_iter):
+            wm = w * np.where(named, m0 * scale, 1.0)
+            got = v @ (wm / wm.sum(1, keepdims=True))
+            if np.abs(got - goal).max(initial=0) < tol * max(abs(v.sum()), 1.0):
+                break
+            fix = moves & (got > 1e-12)
+            scale[fix] *= np.sqrt(goal[fix] / got[fix])
+        else:
+            raise NotConverged(f"the profile of {parent} can't be made neutral: purchases are off by {np.abs(got - goal).max():g}")
+        at = np.argwhere(named)
+        return pd.DataFrame({"table_id": pdf["table_id"].iloc[0], "i": m.index.to_numpy()[at[:, 0]], "part": m.columns.to_numpy()[at[:, 1]], "m": (m0 * scale)[named]})
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    return rows.groupBy(*KEY).applyInPandas(run, f"table_id string, i {kind(z, 'i')}, part {kind(w_col, 'part')}, m double")
+
+
+def split_satellite(values: DataFrame, parent: int, weights: DataFrame) -> DataFrame:
+    """A satellite (i, value, origin) divided as output is: the parts share the parent's intensity and are marked estimated."""
+    made = split_margin(values.select("i", "origin", "value"), "i", parent, weights)
+    part = weights.select(F.col("part").alias("i"), F.lit(True).alias("new"))
+    return made.join(part, "i", "left").select("i", "value", F.when(F.col("new"), "estimated").otherwise(F.col("origin")).alias("origin"))

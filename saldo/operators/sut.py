@@ -106,3 +106,80 @@ def project(build: Callable[[], dict], method: str) -> kernels.SutEuro | kernels
     if not got.converged:
         raise kernels.NotConverged(f"{method} stopped after {got.iterations} iterations without settling")
     return got
+
+
+#: Kinds of targets that tell the projection methods apart, and those of both. Fixed values.
+KINDS = {"sut_euro": ("gva", "final_use"), "sut_ras": ("industry_output", "use_column_totals")}
+SHARED = ("taxes", "imports")
+
+
+def choose_projection(kinds: set[str]) -> str:
+    """The method that a project's targets are for; mixed, missing and unknown kinds are refused."""
+    unknown = kinds - {k for v in KINDS.values() for k in v} - set(SHARED)
+    if unknown:
+        raise kernels.TableError(f"targets of unknown kinds: {', '.join(sorted(unknown))}")
+    chosen = [m for m, names in KINDS.items() if kinds & set(names)]
+    if len(chosen) != 1:
+        raise kernels.TableError("targets mix those of both projection methods" if chosen else "targets name neither value added and final use nor outputs and use totals")
+    missing = set(KINDS[chosen[0]]) - kinds
+    if missing:
+        raise kernels.TableError(f"{chosen[0]} also needs targets of {', '.join(sorted(missing))}")
+    return chosen[0]
+
+
+def align_targets(targets: DataFrame, axes: DataFrame) -> DataFrame:
+    """Targets (kind, code, value) beside the table's codes (kind, code): value and problem, null where both have the code.
+
+    A target without a code in the table, a code without a target and a repeated target are problems.
+    """
+    n = targets.groupBy("kind", "code").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    both = n.join(axes.select("kind", "code", F.lit(True).alias("known")), ["kind", "code"], "full")
+    problem = F.when(F.col("known").isNull(), "not in the table").when(F.col("n").isNull(), "no target").when(F.col("n") > 1, "repeated")
+    return both.select("kind", "code", "value", problem.alias("problem"))
+
+
+PROJECTED = "table_id string, block string, r string, c string, value double, iterations int"
+
+
+def project_frames(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """Supply-use tables projected to the totals of another year, as a grouped map: one task a table (PROJECTED).
+
+    cells: (table_id, what, r, c, value): "domestic" and "imported" use by product r and column c (industries and
+    final uses), "taxes" by column c, "supply" by product r and industry c. targets: (table_id, kind, code,
+    value). Industries are the columns of supply; those and products without supply are dead and dropped.
+    Targets must match the live axes one to one. Both methods refuse a run that doesn't settle.
+    """
+    rows = cells.select("table_id", "what", "r", "c", "value").unionByName(targets.select("table_id", F.concat(F.lit("target:"), "kind").alias("what"), F.lit(None).cast("string").alias("r"), F.col("code").alias("c"), "value"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = lambda what: pdf[pdf["what"] == what].pivot_table(index="r", columns="c", values="value", aggfunc="sum", fill_value=0.0)
+        supply = grid("supply")
+        supply = supply.loc[supply.sum(axis=1) > 0, supply.sum() > 0]
+        columns = [*supply.columns, *sorted(set(grid("domestic").columns) - set(grid("supply").columns))]
+        domestic, imported = (grid(what).reindex(index=supply.index, columns=columns, fill_value=0.0) for what in ("domestic", "imported"))
+        tax = pdf[pdf["what"] == "taxes"].groupby("c")["value"].sum().reindex(columns, fill_value=0.0)
+        goals = {w.split(":", 1)[1]: g.set_index("c")["value"] for w, g in pdf[pdf["what"].str.startswith("target:")].groupby("what")}
+        method = choose_projection(set(goals))
+
+        def goal(kind: str, codes: list[str]) -> np.ndarray:
+            have = goals[kind]
+            odd = set(have.index) ^ set(codes) | set(have.index[have.index.duplicated()])
+            if odd:
+                raise kernels.TableError(f"{kind}: targets and table don't have the same codes once each: {', '.join(sorted(odd))}")
+            return have.reindex(codes).to_numpy(float)
+
+        ud, um, v = domestic.to_numpy(float), imported.to_numpy(float), supply.to_numpy(float)
+        live, final = list(supply.columns), columns[supply.shape[1] :]
+        if method == "sut_euro":
+            build = lambda: {"ud0": ud, "um0": um, "taxes0": tax.to_numpy(float), "v0": v.T, "va_goal": goal("gva", live), "final_goal": goal("final_use", final), "taxes_goal": goals["taxes"].sum(), "imports_goal": goals["imports"].sum()}
+        else:
+            plus, minus = lambda a: np.maximum(a, 0), lambda a: np.maximum(-a, 0)
+            build = lambda: {"pd_": plus(ud), "nd": minus(ud), "pm": plus(um), "nm": minus(um), "pv": plus(v.T), "nv": minus(v.T), "m": um.sum(1), "x": goal("industry_output", live), "u": goal("use_column_totals", columns), "total": goals["imports"].sum()}
+        got = project(build, method)
+        parts = [("domestic", got.domestic, supply.index, columns), ("imported", got.imported, supply.index, columns), ("supply", got.supply.T, supply.index, live)]
+        if method == "sut_euro":
+            parts += [("taxes", got.taxes[None], ["taxes"], columns), ("added", got.value_added[None], ["added"], live)]
+        made = [pd.DataFrame(a, r, c).rename_axis(index="r", columns="c").stack().rename("value").reset_index().assign(block=b) for b, a, r, c in parts]
+        return pd.concat(made).assign(table_id=pdf["table_id"].iloc[0], iterations=got.iterations)[["table_id", "block", "r", "c", "value", "iterations"]]
+
+    return rows.groupBy("table_id").applyInPandas(run, PROJECTED)

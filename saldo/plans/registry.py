@@ -17,7 +17,7 @@ from saldo.streaming import flows as stream
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
-PARENT, PARTS = 7, (100, 101, 102)
+PARENT, PARTS = 7, (100, 101, 102, 103, 104)
 
 FLOW = """
 flow AS (SELECT s_nationkey AS i, c_nationkey AS j, c_mktsegment AS seg, sum(l_extendedprice * (1 - l_discount)) AS v
@@ -42,7 +42,7 @@ INVERSE = """
 s(k, i, j, v) AS (SELECT 0, x.i, x.i, 1.0::DOUBLE FROM x UNION ALL SELECT * FROM (SELECT s.k + 1, s.i, a.j, sum(s.v * a.v) FROM s JOIN a ON a.i = s.j WHERE s.k < 70 GROUP BY 1, 2, 3)),
 l AS (SELECT i, j, sum(v) AS v FROM s GROUP BY 1, 2)"""
 WEIGHTS = """
-ks AS (SELECT o_orderpriority AS code, count(*) AS v FROM orders GROUP BY 1 ORDER BY 1 LIMIT 3),
+ks AS (SELECT o_orderpriority AS code, count(*) AS v FROM orders GROUP BY 1),
 w AS (SELECT 99 + row_number() OVER (ORDER BY code) AS part, v / sum(v) OVER () AS w FROM ks)"""
 ACTIVITY = "act AS (SELECT n_regionkey AS r, o_orderpriority AS i, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)"
 
@@ -347,11 +347,10 @@ def almon_purified(spark, sf_dir):
 
 
 def weights(spark, sf_dir):
-    """A key of three parts from order counts."""
+    """A key of five parts from order counts."""
     keys = fixture.read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    three = keys.orderBy("code").limit(3).withColumn("key_id", F.lit("orders"))
     order = F.row_number().over(table.Window.partitionBy("key_id").orderBy("code")) + 99
-    return split.key_weights(three).withColumn("part", order).select("part", "code", "weight")
+    return split.key_weights(keys.withColumn("key_id", F.lit("orders"))).withColumn("part", order).select("part", "code", "weight")
 
 
 @query("""WITH k AS (SELECT c_mktsegment AS code, 'balance' AS key_id, sum(c_acctbal) AS v FROM customer GROUP BY 1 UNION ALL SELECT c_mktsegment, 'signed', min(c_acctbal) FROM customer GROUP BY 1),

@@ -36,13 +36,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales (i, j, seg, value) by supplying nation, buying nation and market segment."""
     item = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
-    order = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     seller = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("i"))
+    # one shuffle of the line items, by order; what follows is at most nations squared times segments a partition
+    sold = item.join(seller, F.col("l_suppkey") == F.col("s_suppkey")).join(_buyers(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey"))
+    return sold.groupBy("i", "j", "seg").agg(F.sum("value").alias("value"))
+
+
+def _buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buying nation and market segment of every order (o_orderkey, j, seg)."""
+    order = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     buyer = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("j"), F.col("c_mktsegment").alias("seg"))
-    # summed by seller's nation and customer before the customer's attributes are looked up
-    sold = item.join(seller, F.col("l_suppkey") == F.col("s_suppkey")).join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-    sold = sold.groupBy("i", "o_custkey").agg(F.sum("value").alias("value"))
-    return sold.join(buyer, F.col("o_custkey") == F.col("c_custkey")).groupBy("i", "j", "seg").agg(F.sum("value").alias("value"))
+    return order.join(buyer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "j", "seg")
 
 
 def io_table(spark: SparkSession, sf_dir: str) -> Table:
@@ -80,11 +84,10 @@ def supply_use(spark: SparkSession, sf_dir: str) -> SupplyUse:
     part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("p"))
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     seller = read(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("a"))
-    buyer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("b"), F.col("c_mktsegment").alias("seg"))
-    order = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     sold = item.join(part, F.col("l_partkey") == F.col("p_partkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
-    sold = sold.join(order, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("p", "a", "o_custkey").agg(F.sum("value").alias("value"))
-    sold = cut(sold.join(buyer, F.col("o_custkey") == F.col("c_custkey")).groupBy("p", "a", "b", "seg").agg(F.sum("value").alias("value")))
+    sold = sold.join(_buyers(spark, sf_dir), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("p", "a", "j", "seg").agg(F.sum("value").alias("value"))
+    region = nation.select(F.col("n_nationkey").alias("j"), F.col("n_regionkey").alias("b"))
+    sold = cut(sold.join(region, "j").groupBy("p", "a", "b", "seg").agg(F.sum("value").alias("value")))
     inner = F.col("seg").isin(*INTERMEDIATE)
     return SupplyUse(
         sold.groupBy("p", "a").agg(F.sum("value").alias("value")),

@@ -6,6 +6,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,9 +121,19 @@ def shortfall(parts: float, total: float) -> str:
 
 
 def printed_in(value: float, text: str) -> bool:
-    """Whether a figure stands in a text, whatever separators group its digits."""
-    digits = re.sub(r"\D", "", f"{value:.6f}".rstrip("0").rstrip("."))
-    return any(re.sub(r"\D", "", m).lstrip("0") == digits.lstrip("0") for m in re.findall(r"\d[\d.,   ']*", text))
+    """Whether a figure stands in a text as a reader would read it, with points and commas grouping digits or as decimal marks.
+
+    Blanks part numbers, unless they group digits by three throughout.
+    """
+    want = Decimal(f"{abs(value):.10g}")
+    for m in re.finditer(r"\d{1,3}(?:[ \u00a0\u2009\u202f']\d{3})+(?:[.,]\d+)?(?!\d)|\d+(?:[.,]\d+)*", text):
+        plain = re.sub(r"[ \u00a0\u2009\u202f']", "", m[0])
+        runs = [plain, *re.findall(r"\d+(?:[.,]\d+)*", m[0])] if plain != m[0] else [plain]
+        for run in runs:
+            readings = [re.sub(r"[.,]", "", run)] + [re.sub(r"[.,](?=.*[.,])", "", run).replace(",", ".")]
+            if any(Decimal(r) == want for r in readings):
+                return True
+    return False
 
 
 def key_from_report(figures: list[tuple[str, float, str]]) -> dict[str, float]:

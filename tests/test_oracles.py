@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from saldo.plans.registry import ORACLE_SQL, QUERIES
+from saldo.plans.figures import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

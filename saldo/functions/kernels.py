@@ -399,22 +399,34 @@ def search_hybrid(v_t, ud, um, w) -> np.ndarray:
     return h
 
 
-def almon_row(use: np.ndarray, shares: np.ndarray, floor: float | np.ndarray = 0.0, max_iter: int = 500, tol: float = 1e-12) -> np.ndarray:
+@dataclass
+class AlmonRow:
+    cells: np.ndarray
+    iterations: int
+    converged: bool
+    row_error: float
+
+
+def almon_row(use: np.ndarray, shares: np.ndarray, floor: float | np.ndarray = 0.0, max_iter: int = 500, tol: float = 1e-12) -> AlmonRow:
     """One row of the product-technology table without negatives: seeks z with z shares = use, z at least the floor.
 
     shares: products by industries, rows adding to one. Industries are visited in turn; what a floor takes
-    away is given back over the cells above their floor, so that the row keeps its total.
+    away is given back over the cells above their floor, or over all where none is, so that the row keeps its
+    total. row_error is what is missing to that total, which floors can make unattainable.
     """
     z = np.array(use, float)
     low = np.broadcast_to(np.asarray(floor, float), z.shape)
-    own = np.diag(shares)
-    for _ in range(max_iter):
+    own, total, settled, k = np.diag(shares), float(np.sum(use)), False, 0
+    for k in range(1, max_iter + 1):
         before = z.copy()
         for j in np.flatnonzero(own > TINY):
             z[j] = max(low[j], (use[j] - (shares[:, j] @ z - own[j] * z[j])) / own[j])
         free = z > low + TINY
         if free.any() and z[free].sum() > TINY:
-            z[free] *= (use.sum() - z[~free].sum()) / z[free].sum()
-        if np.abs(z - before).max(initial=0) < tol * max(1.0, np.abs(z).max(initial=0)):
+            z[free] *= (total - z[~free].sum()) / z[free].sum()
+        elif abs(z.sum()) > TINY:
+            z *= total / z.sum()
+        settled = bool(np.abs(z - before).max(initial=0) < tol * max(1.0, np.abs(z).max(initial=0)))
+        if settled:
             break
-    return z
+    return AlmonRow(z, k, settled, abs(float(z.sum()) - total))

@@ -44,11 +44,19 @@ def balance(cells: DataFrame, rows: DataFrame, cols: DataFrame, *, method: str =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         r, c = (pdf[pdf["what"] == w].sort_values(k) for w, k in (("row", "i"), ("col", "j")))
-        at_i, at_j = ({int(s): k for k, s in enumerate(df[col])} for df, col in ((r, "i"), (c, "j")))
         t = np.zeros((len(r), len(c)))
-        for row in pdf[pdf["what"] == "cell"].itertuples():
-            t[at_i[int(row.i)], at_j[int(row.j)]] += row.value
-        held = {(at_i[int(k.i)], at_j[int(k.j)]): k.value for k in pdf[pdf["what"] == "known"].itertuples()}
+
+        def places(what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            some = pdf[pdf["what"] == what]
+            i, j = pd.Index(r["i"]).get_indexer(some["i"]), pd.Index(c["j"]).get_indexer(some["j"])
+            if (i < 0).any() or (j < 0).any():
+                odd = some[(i < 0) | (j < 0)].iloc[0]
+                raise kernels.TableError(f"cell ({odd['i']:g}, {odd['j']:g}) has no target")
+            return i, j, some["value"].to_numpy()
+
+        i, j, value = places("cell")
+        np.add.at(t, (i, j), value)
+        held = {(int(a), int(b)): float(x) for a, b, x in zip(*places("known"))}
         u, v, _ = square_margins(r["value"].to_numpy(), c["value"].to_numpy(), floor)
         how = choose(bool((t < 0).any()), method)
         if how == "RAS":
@@ -81,11 +89,33 @@ def ras_rounds(cells: DataFrame, rows: DataFrame, cols: DataFrame, rounds: int)
     return now
 
 
+def ras_joined(cells: DataFrame, rows: DataFrame, cols: DataFrame, tolerance: float = 1e-9, max_rounds: int = 300) -> tuple[DataFrame, int, bool]:
+    """RAS as joins until the rows are met: cells, rounds, and whether every row is within `tolerance` of its target, relatively.
+
+    Columns are met after each round. Rounds are checked three at a time; one figure a check comes to the driver.
+    """
+    now, done = cut(cells.select("table_id", "i", "j", "value")), 0
+    rows, cols = cut(rows), cut(cols)
+    while done < max_rounds:
+        now, done = cut(ras_rounds(now, rows, cols, 3)), done + 3
+        off = now.groupBy("table_id", "i").agg(F.sum("value").alias("have")).join(rows.withColumnRenamed("value", "goal"), ["table_id", "i"])
+        worst = off.agg(F.max(F.abs(F.col("have") - F.col("goal")) / F.greatest(F.abs("goal"), F.lit(1.0))).alias("w")).first()["w"]
+        if worst is None or worst <= tolerance:
+            return now, done, True
+    return now, done, False
+
+
+#: Rows and columns of one table whose components one task works out from a dense grid; larger tables raise.
+MOST_LINES = 8_000
+
+
 def bipartite_components(cells: DataFrame) -> DataFrame:
     """Component of each row and column (side, k, component) in the graph of a table's cells that are not zero."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = np.sort(pdf["i"].unique()), np.sort(pdf["j"].unique())
+        if max(len(rows), len(cols)) > MOST_LINES:
+            raise kernels.TableError(f"{len(rows)} by {len(cols)} lines are more than {MOST_LINES}: work out the components by joins")
         t = np.zeros((len(rows), len(cols)))
         t[np.searchsorted(rows, pdf["i"]), np.searchsorted(cols, pdf["j"])] = pdf["value"]
         got = kernels.components(t)

@@ -81,10 +81,11 @@ def intermediate_totals(u: DataFrame, inputs: DataFrame) -> DataFrame:
     return check(aligned(sums(u, "a", "u"), sums(inputs, "a", "ic")), "ID-14", "k", zero("u"), zero("ic"), 1e-3)
 
 
-def margin_column(margins: DataFrame, services: list[str]) -> DataFrame:
-    """ID-19: a margin column cancels, is not positive on margin services and not negative elsewhere. margins: (p, value)."""
-    service = F.col("p").isin(*services)
-    wrong = margins.where((service & (F.col("value") > 1e-6)) | (~service & (F.col("value") < -1e-6)))
+def margin_column(margins: DataFrame, services: DataFrame) -> DataFrame:
+    """ID-19: a margin column cancels, is not positive on margin services (p) and not negative elsewhere. margins: (p, value)."""
+    service = F.coalesce("_service", F.lit(False))
+    wrong = margins.join(services.select("p", F.lit(True).alias("_service")).distinct(), "p", "left")
+    wrong = wrong.where((service & (F.col("value") > 1e-6)) | (~service & (F.col("value") < -1e-6)))
     sign = wrong.agg(F.count(F.lit(1)).alias("n")).select(F.lit("ID-19 signs").alias("name"), F.lit("total").alias("key"), F.col("n").cast("double").alias("gap"), (F.col("n") == 0).alias("passed"))
     return sums_to_zero(margins, "ID-19").unionByName(sign)
 

@@ -81,10 +81,11 @@ def almon(v: DataFrame, u: DataFrame) -> DataFrame:
                 s = pd.DataFrame([dict(r) if isinstance(r, dict) else r.asDict() for r in supply]).pivot_table(index="p", columns="a", values="value", aggfunc="sum", fill_value=0.0)
                 shares = s.to_numpy(float) / s.to_numpy(float).sum(1)[:, None]
                 line = pd.Series({r["a"]: r["value"] for r in use}).reindex(s.columns, fill_value=0.0)
-                out += [(p, q, float(z)) for q, z in zip(s.index, kernels.almon_row(line.to_numpy(float), shares))]
-            yield pd.DataFrame(out, columns=["p", "q", "value"])
+                got = kernels.almon_row(line.to_numpy(float), shares)
+                out += [(p, q, float(z), got.converged, got.row_error) for q, z in zip(s.index, got.cells)]
+            yield pd.DataFrame(out, columns=["p", "q", "value", "converged", "row_error"])
 
-    return rows.mapInPandas(run, "p string, q string, value double")
+    return rows.mapInPandas(run, "p string, q string, value double, converged boolean, row_error double")
 
 
 def choose_model(square: bool, secondary: str | None = None) -> dict[str, str]:

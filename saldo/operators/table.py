@@ -158,8 +158,9 @@ def variation_driver(cells: DataFrame) -> DataFrame:
     return spread.orderBy(F.desc("spread"), "i", "j").limit(1)
 
 
-def input_divergence(a: DataFrame) -> DataFrame:
-    """Largest difference and cosine distance of every two sectors' input columns."""
+def input_divergence(a: DataFrame, parts: DataFrame) -> DataFrame:
+    """Largest difference and cosine distance of the input columns of every two of the parts (table_id, j) of a split."""
+    a = a.join(parts.select(*KEY, "j").distinct(), [*KEY, "j"], "left_semi")
     left = a.select(*KEY, "i", F.col("j").alias("a"), F.col("value").alias("va"))
     right = a.select(*KEY, "i", F.col("j").alias("b"), F.col("value").alias("vb"))
     norm = a.groupBy(*KEY, "j").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.max(F.abs("value")).alias("top"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from saldo.functions import precision
 from saldo.operators import balance, identities, metrics, regional, split, sut, table
-from saldo.plans.registry import ACTIVITY, BENT, BLOCK, DECIMALS, FLOW, INVERSE, PARENT, QUERIES, ORACLE_SQL, RAS, SUT, WEIGHTS, _values, bent, io, query, seeded, square, v, weights
+from saldo.plans.registry import ACTIVITY, BENT, BLOCK, CLOSED, DECIMALS, FLOW, INNER, INVERSE, PARENT, QUERIES, ORACLE_SQL, PARTS, RAS, SEED, SUT, WEIGHTS, _values, bent, io, query, seeded, square, type_ii, v, weights
 from saldo.sources import fixture
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -60,18 +60,11 @@ def key_vintages(spark, sf_dir):
     return metrics.vintage_gaps(used, keys, 1997)
 
 
-CLOSED = f"""inc AS (SELECT j AS i, greatest(0.5 * v, 0) AS v FROM va), hh AS (SELECT i, 0.5 * v AS v FROM y WHERE c = 'HOUSEHOLD'),
-a2 AS (SELECT i, j, v FROM a UNION ALL SELECT -1, inc.i, inc.v / x.v FROM inc JOIN x ON x.i = inc.i UNION ALL SELECT hh.i, -1, hh.v / (SELECT sum(v) FROM inc) FROM hh JOIN x ON x.i = hh.i),
-n2 AS (SELECT i FROM x UNION ALL SELECT -1),
-t2(k, i, j, v) AS (SELECT 0, i, i, 1.0::DOUBLE FROM n2 UNION ALL SELECT * FROM (SELECT t2.k + 1, t2.i, a2.j, sum(t2.v * a2.v) FROM t2 JOIN a2 ON a2.i = t2.j WHERE t2.k < 160 GROUP BY 1, 2, 3)),
-m2 AS (SELECT j, sum(v) AS v FROM t2 WHERE i >= 0 AND j >= 0 GROUP BY 1)"""
-
-
 @query(f"WITH RECURSIVE {FLOW}, {INVERSE}, {CLOSED}, m1 AS (SELECT j, sum(v) AS v FROM l GROUP BY 1) SELECT m1.j, round(m1.v, 7) AS type_i, round(m2.v, 7) AS type_ii, round(m2.v / m1.v - 1, 7) AS uplift FROM m1 JOIN m2 ON m2.j = m1.j")
 def type2_uplift(spark, sf_dir):
     """Type I beside type II multipliers, with half of value added as income."""
     t = io(spark, sf_dir)
-    second = QUERIES["type2_multipliers"](spark, sf_dir)
+    second = type_ii(spark, sf_dir)
     return metrics.type_ii_uplift(table.multipliers(table.coefficients(t.z, t.x), t.x), second).select("j", plus("type_i", 7), plus("type_ii", 7), plus("uplift", 7))
 
 
@@ -253,6 +246,41 @@ def id10_cif_fob(spark, sf_dir):
     return _report(identities.cif_fob_totals(item.select(F.col("l_extendedprice").alias("value")), item.select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))))
 
 
+TARGETS = f"SELECT 'row' AS axis, i AS k, round({{f}} * sum({{v}}), -1) AS value FROM z GROUP BY i UNION ALL SELECT 'column', j, round({{f}} * sum({{v}}), -1) FROM z GROUP BY j"
+
+
+def _totals(cells):
+    side = lambda axis, k: cells.groupBy(F.lit(axis).alias("axis"), F.col(k).cast("long").alias("k")).agg(F.sum("value").alias("value"))
+    return side("row", "i").unionByName(side("column", "j")).select("axis", "k", v("value", -1))
+
+
+@query(f"WITH {FLOW} {TARGETS.format(f=1.1, v='CASE WHEN (i + j) % 11 = 0 THEN -0.2 * v ELSE v END')}")
+def gras_totals(spark, sf_dir):
+    """Row and column totals after GRAS of the block with negative cells: the targets."""
+    return _totals(QUERIES["gras_cells"](spark, sf_dir))
+
+
+@query(f"WITH {FLOW} {TARGETS.format(f=1.1, v='v')} UNION ALL SELECT 'known', i, round(v, 4) FROM z WHERE i = j")
+def mras_totals(spark, sf_dir):
+    """Totals after M-RAS, and the cells it was to leave alone."""
+    made = QUERIES["mras_known_cells"](spark, sf_dir)
+    return _totals(made).unionByName(made.where("i = j").select(F.lit("known").alias("axis"), F.col("i").cast("long").alias("k"), v("value", 4)))
+
+
+@query(f"WITH {FLOW} {TARGETS.format(f=1.1, v='v')} UNION ALL SELECT 'settled', 0, 1")
+def ras_totals(spark, sf_dir):
+    """Totals after RAS by joins, and whether it settled."""
+    made, _, settled = balance.ras_joined(*bent(io(spark, sf_dir)))
+    return _totals(made).unionByName(spark.createDataFrame([("settled", 0, float(settled))], "axis string, k long, value double"))
+
+
+@query(f"WITH {FLOW}, {WEIGHTS}, {SEED}, {INNER} SELECT 'row' AS axis, part AS k, round(r, -1) AS value FROM o UNION ALL SELECT 'column', part, round(c, -1) FROM o")
+def split_totals(spark, sf_dir):
+    """Totals of the split's inner block after balancing: its targets."""
+    made = QUERIES["split_balanced"](spark, sf_dir)
+    return _totals(made.where(F.col("i").isin(*PARTS) & F.col("j").isin(*PARTS)))
+
+
 # --- profiles and satellites --------------------------------------------------
 
 SHIFT = f"""m AS (SELECT z.i, z.v, w.part, w.w, w.w * CASE WHEN z.i % 3 = w.part % 3 THEN 2.0 ELSE 1.0 END AS wm FROM z, w WHERE z.j = {PARENT} AND z.i <> {PARENT}),
@@ -341,7 +369,7 @@ def sut_euro_project(spark, sf_dir):
 
 
 @query(f"""WITH {SUT}, {SQUARE}, o AS (SELECT a, 0.9 * sum(v) * (1.05 + 0.02 * CAST(a AS INTEGER)) AS x FROM sq GROUP BY a), col AS (SELECT c, sum(v) AS u FROM us GROUP BY c), f AS (SELECT ((SELECT sum(x) FROM o) + 0.1 * 1.2 * sum(u)) / sum(u) AS f, sum(u) AS u FROM col)
-SELECT 'industry' AS axis, a AS code, round(x, 1) AS value FROM o UNION ALL SELECT 'column', c, round(u * (SELECT f FROM f), 1) FROM col UNION ALL SELECT 'imports', 'total', round(0.12 * u, 1) FROM f""")
+SELECT 'industry' AS axis, a AS code, round(x, -1) AS value FROM o UNION ALL SELECT 'column', c, round(u * (SELECT f FROM f), -1) FROM col UNION ALL SELECT 'imports', 'total', round(0.12 * u, -1) FROM f""")
 def sut_ras_project(spark, sf_dir):
     """Industries that grow apart: the projected tables have the outputs, column totals and imports asked for."""
     cells, use = _pair(spark, sf_dir)
@@ -353,7 +381,7 @@ def sut_ras_project(spark, sf_dir):
     made = sut.project_frames(cells, _targets(("industry_output", output), ("use_column_totals", scaled), ("imports", imports)))
     sums = made.where("block = 'supply'").groupBy(F.lit("industry").alias("axis"), F.col("c").alias("code")).agg(F.sum("value").alias("value"))
     sums = sums.unionByName(made.where("block <> 'supply'").groupBy(F.lit("column").alias("axis"), F.col("c").alias("code")).agg(F.sum("value").alias("value")))
-    return sums.unionByName(made.where("block = 'imported'").groupBy(F.lit("imports").alias("axis"), F.lit("total").alias("code")).agg(F.sum("value").alias("value"))).select("axis", "code", v("value", 1))
+    return sums.unionByName(made.where("block = 'imported'").groupBy(F.lit("imports").alias("axis"), F.lit("total").alias("code")).agg(F.sum("value").alias("value"))).select("axis", "code", v("value", -1))
 
 
 @query(f"""WITH {SUT}, {SQUARE}, have AS (SELECT DISTINCT 'industry_output' AS kind, a AS code FROM sq), t AS (SELECT kind, code, 1.0 AS v FROM have WHERE code <> '2' UNION ALL VALUES ('industry_output', '9', 1.0), ('industry_output', '1', 2.0)), n AS (SELECT kind, code, sum(v) AS v, count(*) AS n FROM t GROUP BY 1, 2)

@@ -32,10 +32,14 @@ class Layout:
 
 def gate(t: Table, inherited: float = 0.0) -> Table:
     """The table, if its rows and columns balance within what the printed decimals allow; else a refusal naming the worst lines."""
-    values = t.z.select("value").unionByName(t.y.select("value")).unionByName(t.va.select("value")).unionByName(t.x.select("value"))
-    terms = t.x.count() + t.y.select("c").distinct().count() + t.va.select("r").distinct().count() + 1
-    floor = precision.tolerance_floor(values.withColumn("all", F.lit(1)), ["all"], terms).first()
-    allowed = max(1e-6, floor["tolerance"] if floor else 0.0) + inherited
+    # blocks are printed with decimals of their own: unrounded cells must not outvote rounded totals
+    parts = [("z", t.z, t.x.count()), ("y", t.y, t.y.select("c").distinct().count()), ("va", t.va, t.va.select("r").distinct().count()), ("x", t.x, 1)]
+    values, terms = None, t.x.sparkSession.createDataFrame([(name, max(n, 1)) for name, _, n in parts], "population string, terms int")
+    for name, df, _ in parts:
+        one = df.select(F.lit(name).alias("population"), "value")
+        values = one if values is None else values.unionByName(one)
+    floor = precision.mixed_floor(values, terms).first()
+    allowed = max(1e-6, floor["tolerance"] or 0.0) + inherited
     left = ops.balance(t.z, t.y, t.va, t.x)
     worst = left.where(F.greatest(F.abs("row_residual"), F.abs("col_residual")) > allowed).orderBy(F.desc(F.greatest(F.abs("row_residual"), F.abs("col_residual")))).limit(5).collect()
     if worst:

@@ -102,8 +102,8 @@ def test_small_operators(spark):
     six = diagnostics.six_pack(spark.createDataFrame([("x", 525.0, 510.0, 500.0), ("y", 1.0, 0.0, 1.0)], "code string, a double, b double, c double")).orderBy("code").collect()
     assert [round(six[0][k], 1) for k in ("price", "volume", "value_index")] == [102.9, 102.0, 105.0] and not six[1]["consistent"]
     zero = spark.createDataFrame([("a", 5.0), ("b", -5.0)], "p string, value double")
-    assert all(r["passed"] for r in identities.margin_column(zero, ["b"]).collect())
-    assert not all(r["passed"] for r in identities.margin_column(zero, ["a"]).collect())
+    assert all(r["passed"] for r in identities.margin_column(zero, spark.createDataFrame([("b",)], "p string")).collect())
+    assert not all(r["passed"] for r in identities.margin_column(zero, spark.createDataFrame([("a",)], "p string")).collect())
     assert identities.sums_to_zero(zero).first()["passed"] and not identities.structural_zero(zero, "block").first()["passed"]
     assert sut.choose_model(False)["excluded"] and sut.choose_model(True)["recommended"] == "D"
     neg = spark.createDataFrame([("va", 2), ("z", 1), ("y", 0)], "block string, negatives long")

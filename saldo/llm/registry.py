@@ -165,6 +165,12 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def spotsigs_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, number of links and component of every document at SpotSigs likeness 0.8, by the join partitioned by set length."""
+    return spotsigs.links(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
 def _spans_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 

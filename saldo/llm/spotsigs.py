@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from saldo.llm.common import checkpointed, connected_components
+
 CHAIN = 3
 #: Text per range of neighbouring documents and per partition of ranges, in characters, and most ranges.
 RANGE_CHARS = 1_000_000
@@ -149,8 +151,8 @@ def similar_pairs(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     are compared in full. Nothing is capped. Empty sets link with nothing; an empty table gives no rows.
     """
     rows = signatures(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_t")), "_t", "sigs").select("id", "sigs")
-    rows = rows.withColumn("print", F.xxhash64("sigs"))
-    classes = rows.groupBy("print", "sigs").agg(F.min("id").alias("class"))
+    rows = checkpointed(rows.withColumn("print", F.xxhash64("sigs")))  # signatures are read several times
+    classes = checkpointed(rows.groupBy("print", "sigs").agg(F.min("id").alias("class")))
     members = rows.join(classes, ["print", "sigs"]).select("id", "class")
     sized = classes.where(F.size("sigs") > 0).select("class", "sigs", F.size("sigs").alias("n"))
     sized = sized.withColumn("part", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int"))
@@ -168,3 +170,20 @@ def similar_pairs(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id"
     pairs = maybe.join(sets("ca", "sa"), "ca").join(sets("cb", "sb"), "cb").withColumn("likeness", likeness(F.col("sa"), F.col("sb"), threshold))
     pairs = pairs.where(F.col("likeness") >= threshold - 1e-12)
     return pairs.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), "likeness"), members
+
+
+def links(docs: DataFrame, *, text: str = "text", id_col: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """(id, class, n_links, component_id) per row of docs with an id: its class of equal signature sets, the rows it is linked with, and the smallest id reachable.
+
+    Rows of a class are linked with each other (but for empty sets), and with all rows of classes similar_pairs finds.
+    """
+    pairs, members = similar_pairs(docs.where(F.col(id_col).isNotNull()), text=text, id_col=id_col, threshold=threshold)
+    pairs, members = checkpointed(pairs.select("a", "b")), checkpointed(members)
+    sizes = members.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("class", "b"), "b").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("others"))
+    comps = connected_components(pairs).withColumnRenamed("node", "class")
+    empty = docs.where(F.col(id_col).isNotNull() & (F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+", " ")) == "")).agg(F.min(id_col).alias("class")).select("class", F.lit(True).alias("_none"))
+    per = sizes.join(others, "class", "left").join(comps, "class", "left").join(empty, "class", "left")
+    per = per.select("class", F.when(F.col("_none"), 0).otherwise(F.col("n") - 1 + F.coalesce("others", F.lit(0))).cast("long").alias("n_links"), F.when(F.col("_none"), None).otherwise(F.coalesce("component", "class")).alias("root"))
+    return members.join(per, "class").select("id", "class", "n_links", F.coalesce("root", "id").alias("component_id"))

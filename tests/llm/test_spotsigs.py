@@ -142,3 +142,34 @@ def test_similar_pairs_match_brute_force(spark):
         want = {(a, b) for a in reps for b in reps if a < b and sets[a] and sets[b] and jaccard(sets[a], sets[b]) >= threshold}
         assert {(r["a"], r["b"]) for r in pairs.collect()} == want and want
     assert spotsigs.similar_pairs(df.limit(0))[0].count() == 0
+
+
+def test_links_query_matches_brute_force(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    vocab = [f"w{c}{d}" for c in "abcdefghij" for d in "klmno"]
+    rows = []
+    for g in range(8):
+        base = [rng.choice(vocab + ["the", "of"] * 9) for _ in range(rng.randint(30, 90))]
+        for _ in range(5):
+            words = list(base)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), rows[0][1]), (len(rows) + 1, ""), (len(rows) + 2, None), (len(rows) + 3, "??")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: brute(t) if words_of(t or "") else set() for i, t in rows}
+    linked = {i: {j for j in sets if j != i and sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= 0.8} for i in sets}
+    comp = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            low = min([comp[i], *(comp[j] for j in linked[i])])
+            changed |= low != comp[i]
+            comp[i] = low
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in registry.spotsigs_links(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(linked[i]), comp[i]) for i in sets} and max(n for n, _ in got.values()) > 2
+    plan = spotsigs.similar_pairs(spark.read.parquet(f"{tmp_path}/documents.parquet"))[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

@@ -44,7 +44,7 @@ WIDE_RADIUS = 45
 BANDS, BAND_ROWS = 16, 4
 WIDE_PIVOTS = 8
 #: Words whose hashes a worker keeps; past that it forgets them all and starts over.
-CACHE = 1_000_000
+CACHE = 100_000
 #: Rows that a worker compares at once, whole cells and one cell at least.
 STEP_ROWS = 32_768
 

@@ -13,7 +13,7 @@ METHODS = ("sut_euro", "sut_ras")
 #: Target kinds and the projection method they belong to.
 TARGETS = {"gva": "sut_euro", "final_use": "sut_euro", "industry_output": "sut_ras", "use_column_totals": "sut_ras", "taxes": None, "imports": None}
 #: Sections that are checked but that no project run uses, and what there is instead; a project with one is refused.
-UNUSED = {"targets": "call sut.project", "satellites": "call table.satellite_effects on the split table", "regionalise": "run the command line with --regionalise"}
+UNUSED = {"targets": "call sut.project_frames", "satellites": "call split.split_satellite, then table.satellite_effects on the split table", "regionalise": "run the command line with --regionalise"}
 TRUE = ("yes", "true", "1", "y", "x")
 
 
@@ -54,6 +54,24 @@ def yes(value) -> bool:
     return str(value or "").strip().lower() in TRUE
 
 
+def type_ii_labels(meta: dict, added: list[str], finals: list[str]) -> tuple[list[str], str] | None:
+    """Income rows and household column of a type II closure by the table's own labels; None where neither is given.
+
+    One without the other, and labels that the table doesn't have, are refused: closing on another row gives a
+    number that only looks like an induced effect.
+    """
+    rows = [r.strip() for r in str(meta.get("type_ii_income_rows") or "").split(";") if r.strip()]
+    column = str(meta.get("type_ii_household_column") or "").strip()
+    if not rows and not column:
+        return None
+    if not rows or not column:
+        raise TableError("a type II closure needs both income rows and a household column")
+    missing = [r for r in rows if r not in added] + ([column] if column not in finals else [])
+    if missing:
+        raise TableError(f"the table has no {', '.join(missing)}; its value-added rows are {', '.join(added)}, its final-demand columns {', '.join(finals)}")
+    return rows, column
+
+
 def gaps(spec: dict, sectors: set[int]) -> list[tuple[str, str]]:
     """Everything wrong with a project at once: (severity, message); blocking ones stop a run."""
     out: list[tuple[str, str]] = []

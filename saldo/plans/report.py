@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import platform
+import re
 from pathlib import Path
 
 import pyspark
@@ -23,6 +24,23 @@ def number(value: float | None, digits: int = 1) -> str:
     return f"{value:,.{digits}f}"
 
 
+MARK = "Notes:"
+
+
+def references(text: str, pattern: str) -> list[str]:
+    """Every match of a pattern in a text, in order of first sight."""
+    return list(dict.fromkeys(m[0] for m in re.finditer(pattern, text or "")))
+
+
+def annotated(text: str, pattern: str, note: str, shown: int = 8) -> str:
+    """The text with one closing note that names the references in it; a text that has the note, or none of them, as it is."""
+    found = references(text, pattern)
+    if not found or f"\n{MARK} " in text:
+        return text
+    more = f" and {len(found) - shown} more" if len(found) > shown else ""
+    return f"{text.rstrip()}\n\n---\n\n{MARK} {', '.join(f'`{r}`' for r in found[:shown])}{more} {note}\n"
+
+
 def markdown(project: Project, runs: list[Run]) -> str:
     """The report: checks, provenance and solver notes of each scenario, and multipliers compared."""
     lines = [f"# {project.project_id}", ""]

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import json
 import math
+import zipfile
 from dataclasses import asdict, is_dataclass
 from datetime import date, datetime
 from enum import Enum
+from pathlib import Path
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,3 +149,69 @@ def strict_json(df: DataFrame, path: str) -> None:
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     """(file, bytes, sha256) of input files, for manifests."""
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def _column(k: int) -> str:
+    out = ""
+    while k >= 0:
+        out, k = chr(65 + k % 26) + out, k // 26 - 1
+    return out
+
+
+def workbook(sheets: dict[str, list[list]]) -> bytes:
+    """An .xlsx workbook of sheets of rows; strings are kept inline, None and what isn't a finite number are left empty."""
+    kinds = "http://schemas.openxmlformats.org"
+    clean = lambda t: escape("".join(c for c in t if c >= " " or c in "\t\n"), {'"': "&quot;"})
+
+    def cell(row: int, col: int, value) -> str:
+        value = plain(value)
+        at = f"{_column(col)}{row}"
+        if value is None:
+            return ""
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return f'<c r="{at}"><v>{value!r}</v></c>'
+        return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{clean(str(value))}</t></is></c>'
+
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    n = range(1, len(sheets) + 1)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        types = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in n)
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="{kinds}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{kinds}/package/2006/relationships"><Relationship Id="rId1" Type="{kinds}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{kinds}/package/2006/relationships">' + "".join(f'<Relationship Id="rId{k}" Type="{kinds}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet{k}.xml"/>' for k in n) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{kinds}/spreadsheetml/2006/main" xmlns:r="{kinds}/officeDocument/2006/relationships"><sheets>' + "".join(f'<sheet name="{clean(name)[:31]}" sheetId="{k}" r:id="rId{k}"/>' for k, name in zip(n, sheets)) + "</sheets></workbook>")
+        for k, rows in zip(n, sheets.values()):
+            body = "".join(f'<row r="{r}">' + "".join(cell(r, c, value) for c, value in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'{head}<worksheet xmlns="{kinds}/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+#: Cells of a result that a workbook may hold; larger tables belong in a bundle.
+MOST_CELLS = 4_000_000
+
+
+def write_xlsx(table: Table, cells: DataFrame, path: str, metadata: dict[str, str] | None = None) -> None:
+    """A result as a workbook: Z, FinalDemand, ValueAdded, Output, Provenance (all four labels kept) and metadata.
+
+    cells: (i, j, prov). The driver holds the table, of at most MOST_CELLS cells.
+    """
+    sectors = [(r["idx"], r["code"]) for r in table.sector.select("idx", "code").orderBy("idx").collect()]
+    if len(sectors) ** 2 > MOST_CELLS:
+        raise ValueError(f"{len(sectors)} sectors are too many for a workbook; write a bundle")
+    codes = dict(sectors)
+
+    def grid(df: DataFrame, row: str, col: str, rows: list, cols: list, names: dict, value: str = "value") -> list[list]:
+        at = {(r[row], r[col]): r[value] for r in df.select(row, col, value).collect()}
+        return [["code", *[names.get(c, c) for c in cols]], *[[names.get(r, r), *[at.get((r, c)) for c in cols]] for r in rows]]
+
+    order = [i for i, _ in sectors]
+    finals = sorted(r["c"] for r in table.y.select("c").distinct().collect())
+    added = sorted(r["r"] for r in table.va.select("r").distinct().collect())
+    output = {r["i"]: r["value"] for r in table.x.collect()}
+    sheets = {
+        "Z": grid(table.z, "i", "j", order, order, codes), "FinalDemand": grid(table.y, "i", "c", order, finals, codes),
+        "ValueAdded": grid(table.va.withColumn("r", F.concat(F.lit("VA"), F.col("r").cast("string"))), "r", "j", [f"VA{k}" for k in added], order, codes),
+        "Output": [["code", "output"], *[[code, output.get(i)] for i, code in sectors]], "Provenance": grid(cells, "i", "j", order, order, codes, "prov"), "metadata": [["key", "value"], *[[k, v] for k, v in (metadata or {}).items()]],
+    }
+    Path(path).write_bytes(workbook(sheets))

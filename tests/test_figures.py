@@ -99,3 +99,45 @@ def test_ras_by_joins_says_whether_it_settled(spark):
     got = {(r["i"], r["j"]): r["value"] for r in made.collect()}
     assert np.allclose([sum(got[i, j] for j in range(5)) for i in range(5)], goal.sum(1), rtol=1e-7)
     assert not balance.ras_joined(table(spark, grid), rows, cols, 1e-13, max_rounds=3)[2]
+
+
+def test_workbooks_read_back(spark, tmp_path):
+    import io
+
+    from saldo.plans import registry
+    from saldo.sources import files, grids
+
+    rows = [["code", "a<b & \"c\"", None], ["é\x01", 1.5, float("nan")], [" x ", -2, 10**15]]
+    got = list(grids.cells(io.BytesIO(files.workbook({"One": rows, "Two & more": [["z"] * 30]}))))
+    assert [c[:4] for c in got if c[0] == "One"] == [("One", 1, 1, "code"), ("One", 1, 2, 'a<b & "c"'), ("One", 2, 1, "é"), ("One", 2, 2, "1.5"), ("One", 3, 1, " x "), ("One", 3, 2, "-2"), ("One", 3, 3, str(10**15))]
+    assert [c[2] for c in got if c[0] == "Two & more"] == list(range(1, 31))
+    t = registry.io(spark, "/root/testdata/sf0.001")
+    labels = ["observed", "proxy_estimated", "balanced_adjustment", "user_constraint"]
+    cells = t.z.select("i", "j").rdd.map(lambda r: (r["i"], r["j"], labels[(r["i"] + r["j"]) % 4])).toDF("i int, j int, prov string")
+    files.write_xlsx(t, cells, f"{tmp_path}/t.xlsx", {"unit": "dollars"})
+    back = grids.read_grid(spark, f"{tmp_path}/t.xlsx")
+    made = {(r["row_label"], r["col_label"]): r["value"] for r in grids.labelled_block(back, "Z", 1, 1).collect()}
+    code = {r["idx"]: r["code"] for r in t.sector.collect()}
+    assert made == {(code[r["i"]], code[r["j"]]): r["value"] for r in t.z.collect()}
+    assert {r["text"] for r in back.where("sheet = 'Provenance' AND row > 1 AND col > 1").collect()} == set(labels)
+
+
+def test_notes_are_added_once():
+    from saldo.plans import report
+
+    text = "See N-02, then N-01 and N-02."
+    once = report.annotated(text, r"N-\d\d", "are kept elsewhere.")
+    assert "`N-02`, `N-01` are kept" in once and report.annotated(once, r"N-\d\d", "are kept elsewhere.") == once
+    assert report.annotated("nothing", r"N-\d\d", "x") == "nothing" and report.references("", "a") == []
+    assert "and 4 more" in report.annotated(" ".join(f"N-{k}" for k in range(10, 22)), r"N-\d\d", "x")
+
+
+def test_type_ii_labels():
+    from saldo.plans.config import type_ii_labels
+
+    have = (["Wages", "Social", "Surplus"], ["Households", "Exports"])
+    assert type_ii_labels({}, *have) is None
+    assert type_ii_labels({"type_ii_income_rows": "Wages; Social", "type_ii_household_column": "Households"}, *have) == (["Wages", "Social"], "Households")
+    for meta in ({"type_ii_income_rows": "Wages"}, {"type_ii_household_column": "Households"}, {"type_ii_income_rows": "Pay", "type_ii_household_column": "Households"}, {"type_ii_income_rows": "Wages", "type_ii_household_column": "Homes"}):
+        with pytest.raises(TableError):
+            type_ii_labels(meta, *have)

@@ -48,39 +48,42 @@ class CachedTokenizer:
     """
 
     _parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")  # the tokenizer file's pattern, a fixed value
+    # the public byte-level alphabet: bytes that print stand for themselves, the others for 256 onwards in order
+    _bytes = dict(zip((c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)), count(256)))
     _plain = regex.compile("[\n\x21-\x7e\xa1-\xac\xae-įı-ž]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        ends = [i for w, i in self.lib.get_vocab().items() if w.endswith("</w>")]
-        self.ends = np.zeros(self.lib.get_vocab_size() + 1, bool)
-        self.ends[ends] = True
-        self.pieces: dict[str, bytes] = {}
+        self.forget_pieces()
         self.forget()
 
     def forget(self) -> None:
         self.number: defaultdict[str, int] = defaultdict(count().__next__)  # of each word, in order of first sight
         self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
+    def forget_pieces(self) -> None:
+        # of each part of a word; a line feed is the first one and has no ids
+        self.pieces: dict[str, int] = {"\n": 0}
+        self.piece_start, self.piece_length, self.piece_ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        for k in range(0, len(pieces), 512):
-            some = pieces[k : k + 512]
-            ids = np.array(self.lib.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
-                raw, a = ids.tobytes(), 0
-                for p, b in zip(some, (4 * cuts).tolist()):
-                    out[p] = raw[a:b]
-                    a = b
-            else:
-                out |= {p: self.whole(p) for p in some}
-        return out
+    def learn(self, pieces: list[str]) -> None:
+        """Number new parts of words and keep their ids, by the file's merges alone: they need no more cutting."""
+        tokenize = self.lib.model.tokenize
+        ids: list[int] = []
+        ends = []
+        for p in pieces:
+            ids += [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(self._bytes))]
+            ends.append(len(ids))
+        upto = np.array(ends, np.int64)
+        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces))))
+        self.piece_start = np.concatenate([self.piece_start, len(self.piece_ids) + np.r_[0, upto[:-1]]])
+        self.piece_length = np.concatenate([self.piece_length, np.diff(upto, prepend=0)])
+        self.piece_ids = np.concatenate([self.piece_ids, np.array(ids, "<u4")])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and length of each word's ids in an array of ids, and that array."""
@@ -92,20 +95,19 @@ class CachedTokenizer:
         even = np.setdiff1d(np.arange(len(words)), odd) if odd else np.arange(len(words))
         if odd:
             joined = "\n".join([words[k] for k in even.tolist()])
-        known = self.pieces
         ids = np.zeros(0, "<u4")
         if len(even):
             # one pass of the pattern over all words; a line feed is a part of its own, has no ids and ends a word
             parts = self._parts.findall((joined if joined.isascii() else unicodedata.normalize("NFC", joined)).lower() + "\n")
-            known["\n"] = b""
-            known.update(self.encode_pieces([p for p in set(parts) if p not in known]))
-            raw = list(map(known.__getitem__, parts))
-            upto = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)
-            ends = upto[np.fromiter(map("\n".__eq__, parts), bool, len(parts))]
+            new = [p for p in set(parts) if p not in self.pieces]
+            if new:
+                self.learn(new)
+            numbers = np.fromiter(map(self.pieces.__getitem__, parts), np.int64, len(parts))
+            ends = np.cumsum(self.piece_length[numbers])[numbers == 0]
             start[even], length[even] = np.r_[0, ends[:-1]], np.diff(ends, prepend=0)
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            if len(known) > CACHE:
-                known.clear()
+            ids = gather(numbers, self.piece_start, self.piece_length, self.piece_ids)[:-1]
+            if len(self.pieces) > CACHE:
+                self.forget_pieces()
         if odd:
             raw = [self.whole(words[k]) for k in odd]
             sizes = np.array([len(r) // 4 for r in raw])

@@ -236,13 +236,13 @@ def by_sketch(docs: DataFrame) -> DataFrame:
     a sample of rows (SAMPLE a partition); all rows are dealt.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashes = F.transform(F.split(F.translate(F.lower("t"), "\n\r\t", "   "), " "), lambda w: F.xxhash64(w))
+    hashes = F.transform(F.split(F.lower("t"), "[ \n\r\t]"), lambda w: F.xxhash64(w))
     rows = docs.select("i", "t", F.monotonically_increasing_id().alias("n"))
 
     def keyed(some: DataFrame) -> DataFrame:
         some = some.withColumn("h", hashes).withColumn("k0", F.array_min("h"))
-        some = some.withColumn("k1", F.array_min(F.filter("h", lambda x: x > F.col("k0"))))
-        some = some.withColumn("k2", F.array_min(F.filter("h", lambda x: x > F.col("k1"))))
+        some = some.withColumn("k1", F.array_min(F.array_remove("h", F.col("k0"))))
+        some = some.withColumn("k2", F.array_min(F.array_remove(F.array_remove("h", F.col("k0")), F.col("k1"))))
         key = F.col("k0").bitwiseAND(F.lit(~0xFFFFFFFF)).bitwiseOR(F.shiftleft(F.xxhash64("k1", "k2").bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseOR(F.xxhash64("n").bitwiseAND(F.lit(0xFFFF)))
         return some.select("i", "t", F.coalesce(key, F.xxhash64("n")).alias("key"))
 
